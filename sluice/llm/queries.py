@@ -15,5 +15,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("text")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op6_suffix_repeats": op6_suffix_repeats}
 ORACLES: dict[str, str] = {}
