@@ -15,11 +15,17 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=1024, documents=1024, cost=1024 * 1024)
+
+
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.repeats import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("text")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op6_suffix_repeats": op6_suffix_repeats}
+QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats}
 ORACLES: dict[str, str] = {}
