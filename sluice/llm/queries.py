@@ -27,5 +27,11 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("text")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=24, law="bytes")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}

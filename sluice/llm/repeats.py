@@ -129,7 +129,7 @@ class Block:
 
 
 def _contexts(length: int, buckets: int):
-    def run(key, docs: pa.Table) -> pa.Table:
+    def run(key, docs):
         block = Block(docs, length, buckets)
         edges = np.append(np.flatnonzero(np.diff(block.bucket, prepend=-1)), len(block.bucket)).astype(np.int64)
         rows: dict[str, list] = {"bucket": [], "block": [], "contexts": [], "blob": []}
@@ -160,7 +160,7 @@ def _groups(names: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _reranked(length: int):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("runs", pa.int64()), ("blob", pa.binary())])
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         out: dict[str, list] = {"block": [], "bucket": [], "runs": [], "blob": []}
         held = []
         for block, n, blob in zip(rows["block"].to_pylist(), rows["contexts"].to_pylist(), rows["blob"], strict=True):
@@ -251,7 +251,7 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 
 def _cleaned(length: int, buckets: int, with_text: bool):
-    def run(key, docs: pa.Table, found: pa.Table) -> pa.Table:
+    def run(key, docs, found):
         block = Block(docs, length, buckets)
         gone = _removed(block, found)
         text_gone = whole_characters(block.data, gone) if with_text else gone
