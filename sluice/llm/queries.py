@@ -33,5 +33,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24, law="bytes")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats, "op9_sharding": op9_sharding}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}
