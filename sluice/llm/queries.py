@@ -27,6 +27,12 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("text")
 
 
+def op7_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.gam import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.sharding import shard
 
@@ -39,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats, "op7_additive_model": op7_additive_model, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}
