@@ -21,6 +21,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=1024, documents=1024, cost=1024 * 1024)
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.repeats import remove_repeats
 
@@ -45,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op6_suffix_repeats": op6_suffix_repeats, "op7_additive_model": op7_additive_model, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op4_spaced_seeds": op4_spaced_seeds, "op5_license_diagonals": op5_license_diagonals, "op6_suffix_repeats": op6_suffix_repeats, "op7_additive_model": op7_additive_model, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}
