@@ -15,6 +15,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack
 
@@ -45,6 +51,12 @@ def op7_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.sharding import shard
 
@@ -57,5 +69,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_best_fit_packing": op3_best_fit_packing, "op4_spaced_seeds": op4_spaced_seeds, "op5_license_diagonals": op5_license_diagonals, "op6_suffix_repeats": op6_suffix_repeats, "op7_additive_model": op7_additive_model, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash": op1_minhash, "op2_token_counts": op2_token_counts, "op3_best_fit_packing": op3_best_fit_packing, "op4_spaced_seeds": op4_spaced_seeds, "op5_license_diagonals": op5_license_diagonals, "op6_suffix_repeats": op6_suffix_repeats, "op7_additive_model": op7_additive_model, "op8_site_style_tree": op8_site_style_tree, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
 ORACLES: dict[str, str] = {}
