@@ -42,7 +42,8 @@ def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.repeats import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=50, with_text=False).drop("kept_text")
 
 
 def op7_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,12 @@ tens of bytes for each byte of text; instead
 1.  documents are dealt into blocks of bounded size, and in each block every window of `length` bytes elects one
     position, the leftmost with the smallest hash of the next 16 bytes, among the `length - 15` that fit.  Equal
     windows elect equal positions, so equal windows meet if elected positions with equal 16 bytes meet;
-2.  Spark deals the elected positions, each with the bytes of its windows, by those 16 bytes (rank 1).  In a block
-    equal contexts go once, with the smallest doc_id, so that a passage held by a third of all documents costs one
-    row part for each block;
-3.  positions whose 16 bytes are unique drop out; the windows of the rest are named by doubling, 16 to 32 to `length`
-    bytes, each name a pair of names half as long (two independent 64-bit names, so 128 bits decide), and windows
-    with equal names are reranked by doc_id;
+2.  Spark deals the elected positions by a hash of those 16 bytes (rank 1), four bytes a position, and positions whose
+    rank is unique drop out;
+3.  the rest are dealt again with the bytes of their windows.  In a block equal contexts go once, with the smallest
+    doc_id, so that a passage held by a third of all documents costs one row part for each block.  The windows are
+    named by doubling, 16 to 32 to `length` bytes, each name a pair of names half as long (two independent 64-bit
+    names, so 128 bits decide), and windows with equal names are reranked by doc_id;
 4.  what a smaller doc_id holds goes back to the blocks as runs of windows, and there becomes removed bytes.
 
 Defined results: null text is empty; matches never cross documents and are judged on the input, also where they
@@ -31,8 +31,8 @@ from sluice.llm import textkit as tk
 from sluice.llm.runtime import parts, small_batches, text_bytes
 
 KEY = 16
-#: Bytes of text in a block, and of contexts in a bucket, that one task holds.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, and for each bucket of elected positions; one task holds the former, and what is elected in the latter.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 U = np.uint64
 _CODEC = "zstd"
 
@@ -55,14 +55,12 @@ def eights(data: np.ndarray) -> np.ndarray:
     return x[: len(data)]
 
 
-def pair_names(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
-    """Names for pairs of names."""
+def paired(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Names for pairs of names: random odd multiples, added."""
     odd = tk.stream(2, seed) | U(1)
-    return tk.mix((a * odd[0]) ^ tk.mix(b + odd[1]))
-
-
-def _sixteens(words: np.ndarray, seed: int) -> np.ndarray:
-    return pair_names(words[:-8], words[8:], seed)
+    out = a * odd[0]
+    out += b * odd[1]
+    return out
 
 
 def elect(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -70,34 +68,44 @@ def elect(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     n = len(data)
     if n < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, np.int64))
-    hashes = _sixteens(eights(data), 7)[: n - KEY + 1]
-    low = ((hashes >> U(40)) << U(40)) | np.arange(len(hashes), dtype=U)
+    words = eights(data)[: n - 7]
+    hashes = paired(words[:-8], words[8:], 7)
+    hashes ^= hashes >> U(32)
+    hashes *= U(0xBF58476D1CE4E5B9)
+    low = (hashes >> U(40)) << U(40)
+    low |= np.arange(len(hashes), dtype=U)
+    low = low.view(np.int64) ^ np.int64(-(1 << 63))  # signed order is that of the unsigned numbers
     wide, size = length - KEY + 1, 1
     while 2 * size <= wide:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < wide:
         low = np.minimum(low[: len(low) - (wide - size)], low[wide - size :])
-    at = (low & U((1 << 40) - 1)).astype(np.int64)
-    sizes = np.maximum(np.diff(off) - length + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    window = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(off[:-1], sizes)
-    at = at[window]
-    fresh = np.ones(len(text), bool)
-    fresh[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(text))[: len(begin)] - 1
-    return window[begin], window[end], at[begin], hashes[at[begin]], text[begin]
+    at = low & np.int64((1 << 40) - 1)
+    valid = np.ones(len(at), bool)  # windows that stay in one text
+    ends = off[1:-1]
+    for k in range(1, length):
+        crossing = ends - k
+        valid[crossing[(crossing >= 0) & (crossing < len(at))]] = False
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
+    fresh &= valid
+    close = np.ones(len(at), bool)
+    close[:-1] = (at[1:] != at[:-1]) | ~valid[1:]
+    close &= valid
+    first, last = np.flatnonzero(fresh), np.flatnonzero(close)
+    spot = at[first]
+    return first, last, spot, tk.mix(hashes[spot]), np.searchsorted(off, first, side="right") - 1
 
 
 class Block:
     """The documents of one block and their distinct contexts, in an order that depends on the documents alone."""
 
     def __init__(self, docs: pa.Table, length: int, buckets: int):
-        docs = docs.sort_by("doc_id").combine_chunks()
-        self.ids = docs["doc_id"].to_numpy()
+        docs = docs.sort_by([("rank_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        self.docs, self.ids = docs, docs["rank_id"].to_numpy()
         texts = tk.Texts(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()))
-        self.data, self.off, self.length = texts.data, texts.off, length
+        self.data, self.off, self.length, self.buckets = texts.data, texts.off, length, buckets
         found, begin = [], 0
         while begin < len(self.ids):
             end = max(int(np.searchsorted(self.off, self.off[begin] + tk.SLICE_BYTES, side="right")) - 1, begin + 1)
@@ -107,51 +115,97 @@ class Block:
             up, down = tk.powers(len(own) + 1)
             sums = np.zeros(len(own) + 1, U)
             np.cumsum(tk.BYTE_CODES[own] * up[: len(own)], out=sums[1:])
-            whole = tk.mix((sums[last + length] - sums[first]) * down[first])
+            whole = (sums[last + length] - sums[first]) * down[first]
             found.append((first + base, last + base, at + base, key, text + begin, whole))
             begin = end
         blank = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, np.int64, U)]
         self.first, self.last, at, key, self.text, whole = (np.concatenate(x) for x in zip(*found, strict=True)) if found else blank
-        shape = tk.mix(key + (self.last - self.first).astype(U) * U(64) + (at - self.first).astype(U))
-        bucket = (key % U(buckets)).astype(np.int64)
-        order = np.lexsort((self.first, shape, whole, bucket))
+        shape = key + (self.last - self.first).astype(U) * U(1 << 20) + (at - self.first).astype(U)
+        whole = tk.mix(whole ^ tk.mix(shape))
+        bits = max(buckets.bit_length(), 1)
+        bucket = key % U(buckets)
+        order = np.argsort((bucket << U(64 - bits)) | (whole >> U(bits)))
         new = np.ones(len(order), bool)
-        b, w, s = bucket[order], whole[order], shape[order]
-        new[1:] = (b[1:] != b[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1])
+        w, s = whole[order], shape[order]
+        new[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
         start = np.flatnonzero(new)
         self.context = np.empty(len(order), np.int64)
         self.context[order] = np.cumsum(new) - 1
         docs_of = self.ids[self.text]
         self.smallest = np.minimum.reduceat(docs_of[order], start) if len(start) else np.empty(0, np.int64)
-        self.bucket, self.key = b[start], key[order][start]
         one = order[start]
+        self.bucket = bucket[one].astype(np.int64)
         self.begin, self.windows, self.elected = self.first[one], (self.last - self.first)[one] + 1, (at - self.first)[one]
+        # Distinct ranks, by bucket, and the rank of each context.
+        self.ranks, self.rank = np.unique((bucket[one] << U(32)) | (key[one] >> U(32)), return_inverse=True)
 
 
-def _contexts(length: int, buckets: int):
+def _edges(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal numbers."""
+    edges = np.append(np.flatnonzero(np.diff(sorted_, prepend=-1)), len(sorted_)).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+RANKS = "bucket long, block long, blob binary"
+
+
+def _ranks(length: int, buckets: int):
     def run(key, docs):
         block = Block(docs, length, buckets)
-        edges = np.append(np.flatnonzero(np.diff(block.bucket, prepend=-1)), len(block.bucket)).astype(np.int64)
-        rows: dict[str, list] = {"bucket": [], "block": [], "contexts": [], "blob": []}
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            size = block.windows[lo:hi] + length - 1
-            where = np.repeat(block.begin[lo:hi] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            rows["bucket"].append(int(block.bucket[lo]))
-            rows["block"].append(key[0].as_py())
-            rows["contexts"].append(hi - lo)
-            rows["blob"].append(_squeeze(block.smallest[lo:hi], block.windows[lo:hi].astype(np.uint16), block.elected[lo:hi].astype(np.uint16), block.data[where]))
-        return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("contexts", pa.int64()), ("blob", pa.binary())]))
+        of = (block.ranks >> U(32)).astype(np.int64)
+        rows = [(int(of[lo]), key[0].as_py(), block.ranks[lo:hi].astype("<u4").tobytes()) for lo, hi in _edges(of)]
+        return pa.table(list(zip(*rows, strict=True)) or [[], [], []], schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())]))
+
+    return run
+
+
+def _met(key, rows):
+    """For each block a bit for each of its ranks: another block has it too."""
+    ranks = [np.frombuffer(x.as_py(), "<u4") for x in rows["blob"]]
+    sizes = [len(x) for x in ranks]
+    together = np.concatenate(ranks)
+    order = np.argsort(together, kind="stable")
+    same = together[order][1:] == together[order][:-1]
+    met = np.zeros(len(together), bool)
+    met[order[1:][same]] = True
+    met[order[:-1][same]] = True
+    masks = [np.packbits(x).tobytes() for x in np.split(met, np.cumsum(sizes)[:-1])]
+    return pa.table({"bucket": rows["bucket"], "block": rows["block"], "blob": pa.array(masks, pa.binary())})
+
+
+def _contexts(length: int, buckets: int):
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("contexts", pa.int64()), ("blob", pa.binary())])
+
+    def run(key, docs, masks):
+        block = Block(docs, length, buckets)
+        shared = np.bincount(block.rank, minlength=len(block.ranks)) > 1
+        mask_of = dict(zip(masks["bucket"].to_pylist(), masks["blob"], strict=True))
+        for lo, hi in _edges((block.ranks >> U(32)).astype(np.int64)):
+            mask = np.frombuffer(mask_of[int(block.ranks[lo] >> U(32))].as_py(), np.uint8)
+            shared[lo:hi] |= np.unpackbits(mask, count=hi - lo).astype(bool)
+        kept = np.flatnonzero(shared[block.rank]) if len(block.ranks) else np.empty(0, np.int64)
+        first = np.searchsorted(block.bucket, np.arange(buckets)) if len(kept) else None
+        rows: list[tuple] = []
+        for lo, hi in _edges(block.bucket[kept]):
+            own = kept[lo:hi]
+            bucket = int(block.bucket[own[0]])
+            size = block.windows[own] + length - 1
+            where = np.repeat(block.begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            blob = _squeeze(block.smallest[own], (own - first[bucket]).astype(np.uint32), block.windows[own].astype(np.uint16), block.elected[own].astype(np.uint16), block.data[where])
+            rows.append((bucket, key[0].as_py(), hi - lo, blob))
+        return pa.table(list(zip(*rows, strict=True)) or [[], [], [], []], schema=schema)
 
     return run
 
 
 def _groups(names: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal (names, more) together, and where each group starts."""
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    if (same & (more[order][1:] != more[order][:-1])).any():
-        order = np.lexsort((more, names))
+    order = np.argsort(names)
     a, b = names[order], more[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((more, names))
+        a, b = names[order], more[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return order, np.flatnonzero(new)
@@ -165,34 +219,34 @@ def _reranked(length: int):
         held = []
         for block, n, blob in zip(rows["block"].to_pylist(), rows["contexts"].to_pylist(), rows["blob"], strict=True):
             raw = _expand(blob.as_py())
-            docs, windows, elected = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint16, n, 8 * n).astype(np.int64), np.frombuffer(raw, np.uint16, n, 10 * n).astype(np.int64)
-            held.append((np.full(n, block), np.arange(n), docs, windows, elected, np.frombuffer(raw, np.uint8, offset=12 * n)))
+            number = lambda kind, at: np.frombuffer(raw, kind, n, at * n).astype(np.int64)  # noqa: B023, E731
+            held.append((np.full(n, block), number(np.uint32, 8), number(np.int64, 0), number(np.uint16, 12), number(np.uint16, 14), np.frombuffer(raw, np.uint8, offset=16 * n)))
         block, ordinal, docs, windows, elected, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
         sizes = windows + length - 1
         begin = np.cumsum(sizes) - sizes
-        # rank 1: positions with unique 16 bytes drop out
-        words = eights(data)
-        at = begin + elected
-        order, start = _groups(words[at], words[at + 8])
+        # rank 1: positions whose 16 bytes are unique drop out
+        rank = data[(begin + elected)[:, None] + np.arange(KEY)].view(U)
+        order, start = _groups(rank[:, 0].copy(), rank[:, 1].copy())
         count = np.diff(np.append(start, len(order)))
         keep = np.zeros(len(order), bool)
         keep[order] = np.repeat(count > 1, count)
         if not keep.any():
             return pa.table(out, schema=schema)
-        block, ordinal, docs, windows, sizes, was = (x[keep] for x in (block, ordinal, docs, windows, sizes, begin))
+        data = data[np.repeat(keep, sizes)]
+        block, ordinal, docs, windows, sizes = (x[keep] for x in (block, ordinal, docs, windows, sizes))
         begin = np.cumsum(sizes) - sizes
-        words = words[np.repeat(was - begin, sizes) + np.arange(sizes.sum())]
-        # doubling: 16, 32 and at last `length` bytes
+        # doubling: 8, 16, 32 and at last `length` bytes
+        words = tk.mix(eights(data))
         spots = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
         names = []
         for seed in (101, 202):
-            name, size = np.concatenate([_sixteens(words, seed), np.zeros(8, U)]), KEY
+            name, size = words, 8
             while size < length:
                 step = min(size, length - size)
-                wide = np.zeros(len(name), U)
-                wide[: len(name) - step] = pair_names(name[: len(name) - step], name[step:], seed + size)
-                name, size = wide, size + step
-            names.append(name[spots])
+                name, size = paired(name[:-step], name[step:], seed + size), size + step
+            names.append(tk.mix(name[spots]))
+        del words, name
         of = np.repeat(np.arange(len(windows)), windows)
         order, start = _groups(*names)
         count = np.diff(np.append(start, len(order)))
@@ -257,32 +311,38 @@ def _cleaned(length: int, buckets: int, with_text: bool):
         text_gone = whole_characters(block.data, gone) if with_text else gone
         _, _, first = tk.spans(gone, block.off)
         total = np.append(0, np.cumsum(gone))
-        out: dict[str, list] = {"doc_id": block.ids, "n_bytes": np.diff(block.off), "n_removed": total[block.off[1:]] - total[block.off[:-1]], "n_spans": np.diff(first), "kept_sha256": [], "text": []}
-        for lo, hi in zip(block.off[:-1], block.off[1:], strict=True):
-            out["kept_sha256"].append(hashlib.sha256(block.data[lo:hi][~gone[lo:hi]].tobytes()).hexdigest())
-            out["text"].append(block.data[lo:hi][~text_gone[lo:hi]].tobytes().decode("utf-8", "replace") if with_text else None)
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())]))
+        digest, left = [], []
+        for lo, hi in zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True):
+            digest.append(hashlib.sha256(block.data[lo:hi][~gone[lo:hi]].tobytes()).hexdigest())
+            left.append(block.data[lo:hi][~text_gone[lo:hi]].tobytes().decode("utf-8", "replace") if with_text else None)
+        columns = [pa.array(np.diff(block.off)), pa.array(total[block.off[1:]] - total[block.off[:-1]]), pa.array(np.diff(first).astype(np.int64)), pa.array(digest, pa.string()), pa.array(left, pa.string())]
+        return pa.table([block.docs["rest"], *columns], names=["rest", *FOUND])
 
     return run
 
 
+#: Columns that the operator adds, and their types.
+FOUND = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept_text": "string"}
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
+    """docs(doc_id, text, ...) -> the other columns of docs, then FOUND.
 
-    `text` is what is left as whole characters (a character goes only if all of its bytes do); null without `with_text`.
-    `length` is at least 32.
+    `kept_text` is what is left as whole characters (a character goes only if all of its bytes do); null without
+    `with_text`.  A null doc_id ranks behind all others.  `length` is at least 32.  Columns of docs named like one of
+    FOUND are replaced.
     """
     if length < 2 * KEY:
         raise ValueError(f"length is at least {2 * KEY}")
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = [c for c in docs.columns if c != "text" and c not in FOUND]
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
     _, size = text_bytes(plain)
-    blocks, buckets = parts(size, BLOCK_BYTES), parts(4 * size, 2 * BLOCK_BYTES)
-    dealt = plain.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text")
-    contexts = dealt.groupBy("block").applyInArrow(_contexts(length, buckets), "bucket long, block long, contexts long, blob binary")
+    blocks, buckets = parts(size, BLOCK_BYTES), parts(size, BUCKET_BYTES)
+    dealt = plain.select(F.pmod(F.xxhash64("rank_id"), F.lit(blocks)).alias("block"), "rank_id", "text", "rest")
+    met = dealt.groupBy("block").applyInArrow(_ranks(length, buckets), RANKS).groupBy("bucket").applyInArrow(_met, RANKS)
+    contexts = dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_contexts(length, buckets), "bucket long, block long, contexts long, blob binary")
     found = contexts.groupBy("bucket").applyInArrow(_reranked(length), "block long, bucket long, runs long, blob binary")
-    return (
-        dealt.groupBy("block")
-        .cogroup(found.groupBy("block"))
-        .applyInArrow(_cleaned(length, buckets, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    )
+    rest = dealt.schema["rest"].dataType.simpleString()
+    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleaned(length, buckets, with_text), f"rest {rest}, " + ", ".join(f"{k} {v}" for k, v in FOUND.items()))
+    return out.select("rest.*", *FOUND)
