@@ -1 +1 @@
-"""plans."""
+"""Queries assembled from operators."""

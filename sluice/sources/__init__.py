@@ -1 +1 @@
-"""sources."""
+"""Where op logs come from and where state goes."""

@@ -1 +1 @@
-"""streaming."""
+"""The same semantics over Structured Streaming."""
