@@ -1,11 +1,59 @@
-"""The training-data pipeline over `documents`: quality rules, near duplicates, repeated passages, benchmark leaks, packing."""
+"""The training-data pipeline over `documents`: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.  No ORACLE_SQL: Viterbi
+decoding, MinHash and best fit can't be put in SQL, so tests/llm holds run() against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm.decontaminate import without_overlaps
+from sluice.llm.minhash import near_duplicates
+from sluice.llm.packing import pack
+from sluice.llm.quality_rules import retained
+from sluice.llm.repeats import remove_repeats
+from sluice.llm.runtime import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or are mostly boilerplate lines, go."""
+    return retained(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays, once."""
+    stays = near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
+    return docs.select(COLUMNS).join(stays, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that a smaller doc_id holds are cut from the text; no document goes."""
+    found = remove_repeats(docs.select(COLUMNS), length=50)
+    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return without_overlaps(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences of 1024."""
+    return pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicate), ("suffix_repeats", repeats), ("decontamination", decontamination), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's result is written as Parquet and read again as the next one's documents."""
-    raise NotImplementedError
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
