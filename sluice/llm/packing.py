@@ -102,8 +102,9 @@ def plan(counts: dict[int, int], capacity: int, documents: int, cost: int, rule:
                 residual, begin, many = left[k], int(first[k]), int(size[k])
             else:
                 k, residual, begin, many = -1, whole.astype(np.int64), opened, n
-            # Under "norm" a sequence just filled fits best again until it is full; under "dot" it comes last.
-            stack = int((residual // item).min()) if rule == "norm" else 1
+            # Under "norm" a sequence just filled fits best again until it is full; under "dot" it comes last.  Where no
+            # other fits, the sequence just opened is filled before the next is opened.
+            stack = int((residual // item).min()) if rule == "norm" or k < 0 else 1
             bins, copies = (min(many, n // stack), stack) if n >= stack else (1, n)
             for c in range(copies):
                 out.append((length, rank, bins, begin, capacity - int(residual[0]) + c * length))
