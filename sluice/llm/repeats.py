@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm import textkit as tk
 from sluice.llm.runtime import parts, small_batches, text_bytes
@@ -343,6 +344,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) ->
     met = dealt.groupBy("block").applyInArrow(_ranks(length, buckets), RANKS).groupBy("bucket").applyInArrow(_met, RANKS)
     contexts = dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_contexts(length, buckets), "bucket long, block long, contexts long, blob binary")
     found = contexts.groupBy("bucket").applyInArrow(_reranked(length), "block long, bucket long, runs long, blob binary")
-    rest = dealt.schema["rest"].dataType.simpleString()
-    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleaned(length, buckets, with_text), f"rest {rest}, " + ", ".join(f"{k} {v}" for k, v in FOUND.items()))
+    schema = T.StructType([T.StructField("rest", dealt.schema["rest"].dataType)])
+    for name, kind in FOUND.items():
+        schema = schema.add(name, kind)
+    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleaned(length, buckets, with_text), schema)
     return out.select("rest.*", *FOUND)
