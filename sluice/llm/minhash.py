@@ -6,12 +6,14 @@
 3.  Members of a band bucket are paired with the bucket's smallest member: a star, never all pairs.
 4.  A pair goes on if the collision-corrected estimate from the packed bits reaches `floor`; then the two full sets
     are compared.
-5.  Buckets that still hold more than one component are searched again in blocks, signatures against signatures,
-    for pairs across components only.  So no link between candidates is lost, and a bucket of near copies costs as
-    many comparisons as it has members.
+5.  Buckets that still hold more than one component are searched again in blocks, signatures against signatures and
+    then sets of 32-bit hashes, for pairs across components only; what passes is compared in full.  So no link between
+    candidates is lost, a bucket of linked copies costs as many comparisons as it has members, and what leaves a block
+    is links, never pairs that are merely alike.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and keeps its own id.
-Repeated rows are returned as often as they come.  Other columns are ignored.  An empty table gives an empty result.
+Repeated rows are returned as often as they come.  A null doc_id joins its equal set's class, and is kept only if that
+has no other id; it links with nothing else.  Other columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ HASHES = BANDS * ROWS_IN_BAND
 WORDS = HASHES * BITS // 64
 #: Estimates below this are dropped.  At a similarity of 0.8 the estimate's standard deviation is 0.042.
 FLOOR = 0.6
-#: Members of a bucket that one task holds against as many others.
-BLOCK = 1024
+#: Members of a bucket, and bytes of their sets, that one task holds against as many others.
+BLOCK, BLOCK_BYTES = 8192, 16 << 20
 #: A third of the low 2-bit values agree by chance; 64-bit mask of each value's first bit.
 PAIRS_MASK = 0x5555555555555555
 
@@ -113,27 +115,50 @@ def estimate(a: str, b: str):
     return (1 - differing / HASHES - chance) / (1 - chance)
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float = FLOOR) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block pair's members whose components differ and whose estimate reaches the floor."""
-    table = pa.Table.from_batches(list(batches))
-    ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
-    component, center = table["component"].to_numpy(), table["center"].to_numpy()
-    sig = np.stack([np.asarray(table[f"s{w}"].to_numpy()).view(tk.U) for w in range(WORDS)], axis=1)
-    same = bool((side == 2).any())
-    left, right = (np.flatnonzero(side == 2),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    out_a, out_b = [], []
-    most = int((1 - (least * 0.75 + 0.25)) * HASHES + 1e-9)
-    for i in left:
-        other = right[(component[right] != component[i]) & (ids[right] != center[i]) & (ids[i] != center[i])]
-        if same:
-            other = other[ids[other] > ids[i]]
-        x = sig[other] ^ sig[i]
-        apart = np.bitwise_count((x | (x >> tk.U(1))) & tk.U(PAIRS_MASK)).sum(axis=1)
-        found = ids[other[apart <= most]]
-        out_a.append(np.maximum(found, ids[i]))
-        out_b.append(np.minimum(found, ids[i]))
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _small_sets(shingle: int):
+    """Sorted distinct 32-bit hashes of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in tk.slices(batches):
+            sets = [np.unique((x >> tk.U(32)).astype("<u4")).tobytes() for x in tk.shingle_sets(texts, shingle)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "small"])
+
+    return run
+
+
+def _across(percent: int):
+    """Likely links of one pair of a bucket's blocks: components differ, no earlier band holds both, estimate and 32-bit sets agree.
+
+    Truncated hashes can only merge members, so a slack of one percent and two members keeps every true link.
+    """
+    most = int((1 - (FLOOR * 0.75 + 0.25)) * HASHES + 1e-9)
+
+    def run(key, table):
+        band = key[0].as_py()
+        ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
+        component, center = table["component"].to_numpy(), table["center"].to_numpy()
+        lists = lambda name, n: np.asarray(table[name].combine_chunks().flatten()).reshape(-1, n)
+        sig, bands = lists("sig", WORDS).view(tk.U), lists("bands", BANDS)[:, :band]
+        sets = [np.frombuffer(x.as_py(), "<u4") for x in table["small"]]
+        size = np.array([len(x) for x in sets])
+        same = bool((side == 2).any())
+        left, right = (np.flatnonzero(side == 2),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        out_a, out_b = [], []
+        for i in left:
+            other = right[(component[right] != component[i]) & (ids[right] != center[i]) & (ids[i] != center[i])]
+            if same:
+                other = other[ids[other] > ids[i]]
+            other = other[100 * np.minimum(size[other], size[i]) + 200 >= (percent - 1) * np.maximum(size[other], size[i])]
+            x = sig[other] ^ sig[i]
+            other = other[np.bitwise_count((x | (x >> tk.U(1))) & tk.U(PAIRS_MASK)).sum(axis=1) <= most]
+            for j in other[~(bands[other] == bands[i]).any(axis=1)]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * (both + 2) >= (percent - 1) * (size[i] + size[j] - both - 2):
+                    out_a.append(max(ids[i], ids[j]))
+                    out_b.append(min(ids[i], ids[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -143,11 +168,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = scratch.keep(plain.mapInArrow(_signer(shingle), SIGNATURE_SCHEMA))
     classes = scratch.keep(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies")))
     first = scratch.keep(
-        signed.filter("n_shingles > 0").select("doc_id", "bands", "sig").join(classes.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "bands", "sig").join(classes.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     )
-    banded = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    banded = first.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     centers = banded.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = scratch.keep(banded.join(centers, ["band", "key"]).select("band", "key", "doc_id", "center", "n"))
+    member = scratch.keep(banded.join(centers, ["band", "key"]).select("band", "key", "doc_id", "n_shingles", "center", "n"))
     sig = first.select("doc_id", "sig")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -166,13 +191,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Buckets of three or more that hold several components: pairs across those, in blocks of bounded size.
     label = member.filter("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_buckets = label.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("band", "key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_buckets = label.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held"))
+    open_buckets = open_buckets.filter("lo < hi").select("band", "key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") * 4 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")
+    opened = scratch.keep(label.join(open_buckets, ["band", "key"]).select("band", "key", "doc_id", "center", "component", "blocks"))
+    small = scratch.keep(plain.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_small_sets(shingle), "doc_id long, small binary"))
     dealt = (
-        label.join(open_buckets, ["band", "key"])
-        .join(sig, "doc_id")
-        .select("band", "key", "doc_id", "center", "component", *[F.element_at("sig", w + 1).alias(f"s{w}") for w in range(WORDS)], own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        opened.join(first.select("doc_id", "sig", "bands"), "doc_id")
+        .join(small, "doc_id")
+        .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select(
             "*",
             F.least("own", "other").alias("i"),
@@ -180,8 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
-    more = dealt.groupBy("band", "key", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(list(_across(iter(t.to_batches())))), "a long, b long").distinct()
-    more = scratch.keep(more)
+    more = scratch.keep(dealt.groupBy("band", "key", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
     if more.isEmpty():
         whole = found
     else:
@@ -196,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             "doc_id",
             "n_shingles",
             F.coalesce("component", "set_id", "doc_id").alias("component_id"),
-            (F.coalesce("component", "set_id", "doc_id") == F.col("doc_id")).alias("kept"),
+            F.coalesce("component", "set_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
             F.coalesce("set_id", "doc_id").alias("set_id"),
         )
     )
