@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.llm.oracles import ORACLES  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,4 +73,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_minhash": op1_minhash, "op2_token_counts": op2_token_counts, "op3_best_fit_packing": op3_best_fit_packing, "op4_spaced_seeds": op4_spaced_seeds, "op5_license_diagonals": op5_license_diagonals, "op6_suffix_repeats": op6_suffix_repeats, "op7_additive_model": op7_additive_model, "op8_site_style_tree": op8_site_style_tree, "op9_sharding": op9_sharding, "op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
