@@ -237,3 +237,35 @@ def test_assign_matches_fold(spark, rows):
     fetches = spark.createDataFrame([("t", "g", 1, "a", 1500), ("t", "g", 2, "b", 0), ("t", "g", 3, "b", 700)], "topic string, group_id string, fetch_ord long, consumer_id string, max_n long")
     got = groups.assign(log, fetches)
     assert rows(got.groupBy("consumer_id").agg(F.min("seq"), F.max("seq"), F.count("seq"))) == [("a", 1, 1500, 1500), ("b", 1501, 2200, 700)]
+
+
+def test_restart_disconnect_and_budget(spark, rows):
+    floors = spark.createDataFrame([("t", "g", 5), ("t", "h", 1)], "topic string, group_id string, ack_floor long")
+    heads = spark.createDataFrame([("t", 4)], "topic string, head_seq long")
+    assert rows(groups.restored(floors, heads), "group_id", "ack_floor", "next_deliver") == [("g", 5, 6), ("h", 3, 4)]
+    members = spark.createDataFrame([("x", "t", "g", "w"), ("y", "t", "g", "v")], "client_id string, topic string, group_id string, consumer_id string")
+    gone = spark.createDataFrame([("x", 9)], "client_id string, op_seq long").withColumn("ts", at(T0))
+    assert rows(groups.disconnected(members, gone), "op", "consumer_id", "op_seq") == [("leave", "w", 9)]
+    assert spark.range(1).select(groups.budget(F.lit(10), F.lit(9_995)), groups.budget(F.lit(10), F.lit(10_050))).first()[:] == (5, 0)
+
+
+def test_bytes_and_limits(spark):
+    df = spark.createDataFrame([(b"\x01\x00\x00\x01\x02\xff",)], "p binary")
+    assert df.select(pl.read_uint(F.col("p"), 1, 4), pl.read_uint(F.col("p"), 5, 1), pl.within_limit(F.col("p"), 6), pl.within_limit(F.col("p"), 5)).first()[:] == (258, 255, True, False)
+
+
+def test_queue_names_and_unknown_pushes(spark, rows):
+    ops = spark.createDataFrame([(1, "a", "create"), (2, "b", "create"), (3, "b", "delete")], "op_seq long, queue string, op string")
+    assert rows(workqueue.existing(ops)) == [("a",)]
+    pushes = spark.createDataFrame([("a", "1"), ("c", "2")], "queue string, id string")
+    assert rows(workqueue.unknown_queue(pushes, workqueue.existing(ops)), "id", "reason") == [("2", "Queue not found")]
+
+
+def test_no_nested_loops_and_top_k_plans(spark):
+    from sluice.plans.catalogue import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    for name in ("fanout", "fanout_zero", "retained_replay", "group_assign"):
+        assert "NestedLoop" not in plan(name) and "Cartesian" not in plan(name)
+    assert "WindowGroupLimit" in plan("q_dispatch_topk") and "TakeOrderedAndProject" in plan("log_range")
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,O)" in plan("q_pending_page")
