@@ -8,7 +8,8 @@ own with its children's.  From each page go the branches that are structural boi
 container branches whose composite importance is below `LEAST`.
 
 The counts are made by (host, path, value) and so a host with a third of all pages is spread over its values; what is
-joined back to a host's pages are only its paths of low importance.
+joined back to a host's pages are only its paths of low importance, broadcast if they have been counted and number at
+most `BROADCAST_PATHS`, otherwise by a join that Spark can split.
 
 Defined results: null or empty html gives an empty text; pages of hosts with fewer than `PAGES` pages are judged by
 structure alone; a page all of whose text would go by importance keeps what structure keeps; repeated pages are
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import small_batches
+from sluice.llm.runtime import Scratch
 
 PAGES, LEAST, DECAY = 5, 0.15, 0.9
+BROADCAST_PATHS = 200_000
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,9 +272,11 @@ def low_paths(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     plain = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string").alias("html"))
-    low = low_paths(plain.select("host", "html")).groupBy("host").agg(F.collect_list(F.struct("path", "importance", "styles")).alias("low"))
+    paths = scratch.keep(low_paths(plain.select("host", "html")))
+    low = paths.groupBy("host").agg(F.collect_list(F.struct("path", "importance", "styles")).alias("low"))
+    low = F.broadcast(low) if paths.count() <= BROADCAST_PATHS else low
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     return plain.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_texts, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
