@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,7 @@ BOILERPLATE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<[!?][^>]*>", re.DOTALL)
+_UNCLOSED = re.compile(r"<!--.*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[a-z]+")
@@ -61,23 +63,25 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Page:
-    """Elements in page order, and blocks of text in the element that holds them."""
+    """Elements in page order, and blocks of text in the element that holds them.  Time and memory are linear in the page."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.dropped, self.main = [-1], [""], [""], [False], [False]
+        # Of each element: parent, tag, path (a number that stands for it), whether it goes, whether it is in the main part.
+        self.parent, self.tag, self.path, self.dropped, self.main = [-1], [""], [0], [False], [False]
         self.children: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
-        self.stack, self.buffer, self.holder = [0], [], 0
-        at, size = 0, len(source)
+        self.stack, self.holders, self.open = [0], [0], Counter()  # open elements, the block around each, open tags
+        self.buffer: list[str] = []
+        at, size, last = 0, len(source), source.rfind(">")
         while at < size:
-            m = _TOKEN.search(source, at)
+            m = _TOKEN.search(source, at) if at <= last else _UNCLOSED.search(source, at)
             if m is None:
                 self._text(source[at:])
                 break
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
-            name = m.group(2)
+            name = m.group(2) if m.re is _TOKEN else None
             if name is None:
                 continue
             name = name.lower()
@@ -92,40 +96,36 @@ class Page:
         self._flush()
 
     def _text(self, raw: str) -> None:
+        if self.dropped[self.stack[-1]]:  # an inline element that goes does not part the block around it
+            return
         self.buffer.append(entities.unescape(raw) if "&" in raw else raw)
 
     def _flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.blocks.append((self.holder, text))
+                self.blocks.append((self.holders[-1], text))
             self.buffer = []
 
-    def _hold(self) -> None:
-        """The element that holds text from here on: the innermost block."""
-        k = len(self.stack) - 1
-        while k and self.tag[self.stack[k]] not in BLOCKS and not self.dropped[self.stack[k]]:
-            k -= 1
-        self.holder = self.stack[k]
-
     def _pop_to(self, depth: int) -> None:
-        gone = self.stack[depth + 1 :]
-        if any(self.tag[x] in BLOCKS or self.dropped[x] != self.dropped[self.parent[x]] for x in gone):
+        gone = [self.tag[x] for x in self.stack[depth + 1 :]]
+        if not BLOCKS.isdisjoint(gone):
             self._flush()
-        del self.stack[depth + 1 :]
-        self._hold()
+        self.open.subtract(gone)
+        del self.stack[depth + 1 :], self.holders[depth + 1 :]
 
     def _start(self, name: str, raw: str, closed: bool) -> None:
         if name in BLOCKS:
             self._flush()
-            for k in range(len(self.stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                tag = self.tag[self.stack[k]]
-                if tag == "p":
-                    self._pop_to(k - 1)
-                    break
-                if tag in BLOCKS:
-                    break
-        if name in CLOSES:
+            if self.open["p"]:
+                for k in range(len(self.stack) - 1, 0, -1):  # an open paragraph ends where a block begins
+                    tag = self.tag[self.stack[k]]
+                    if tag == "p":
+                        self._pop_to(k - 1)
+                        break
+                    if tag in BLOCKS:
+                        break
+        if name in CLOSES and any(self.open[tag] for tag in CLOSES[name]):
             for k in range(len(self.stack) - 1, 0, -1):
                 tag = self.tag[self.stack[k]]
                 if tag in STOPS_CLOSE[name]:
@@ -152,23 +152,25 @@ class Page:
         node = len(self.tag)
         inside = self.main[up]
         words = set(_NAME.findall(_CAMEL.sub(r"\1-\2", names).lower())) if names else ()
-        drop = self.dropped[up] or name in DROPPED or role in ROLES or hidden or (name not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(words))
-        drop = drop or (not inside and (name == "header" or "header" in words and name not in ("html", "body", "article", "main")))
+        whole = name in ("html", "body", "article", "main")
+        drop = self.dropped[up] or name in DROPPED or role in ROLES or hidden or (not whole and not BOILERPLATE.isdisjoint(words))
+        drop = drop or (not inside and not whole and (name == "header" or "header" in words))
         self.parent.append(up)
         self.tag.append(name)
-        self.path.append(f"{self.path[up]}/{name}{_DIGITS.sub('0', '.'.join(sorted(names.split()))) if names else ''}")
+        self.path.append(stable_id(f"{self.path[up]}/{name}{_DIGITS.sub('0', '.'.join(sorted(names.split()))) if names else ''}"))
         self.dropped.append(drop)
         self.main.append((inside or name in ("article", "main") or role in ("main", "article")) and not drop)
         self.children.append([])
-        if drop != self.dropped[up]:
-            self._flush()
         if not closed or name in ("p", "div", "span"):
             self.stack.append(node)
-            self._hold()
+            self.holders.append(node if name in BLOCKS else self.holders[-1])
+            self.open[name] += 1
 
     def _end(self, name: str) -> None:
         if name in BLOCKS:
             self._flush()
+        if not self.open[name]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             tag = self.tag[self.stack[k]]
             if tag == name:
@@ -180,7 +182,7 @@ class Page:
     def text(self, low: dict[int, tuple[float, int]] | None = None) -> str:
         """Blocks that stay; low: (importance, styles) of this host's paths of low importance."""
         whole = any(self.main[node] for node, _ in self.blocks)
-        stays = [(node, text) for node, text in self.blocks if not self.dropped[node] and (self.main[node] or not whole)]
+        stays = [(node, text) for node, text in self.blocks if self.main[node] or not whole]
         if low and stays:
             gone = self._unimportant(low)
             better = [(node, text) for node, text in stays if not gone[node]]
@@ -205,8 +207,9 @@ class Page:
         return gone
 
 
-def path_id(path: str, kind: int) -> int:
-    return stable_id(f"{kind}{path}")
+def path_id(path: int, kind: int) -> int:
+    """Kind 1 is a path's presentation, kind 2 its content."""
+    return path ^ kind
 
 
 def stable_id(text: str) -> int:
