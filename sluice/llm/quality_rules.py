@@ -163,28 +163,31 @@ def _judge(field: Field, least: float, whole_rows: bool):
     return run
 
 
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's lines as packed flags: what fitting needs of a text."""
+    for part, texts in tk.slices(batches):
+        p = profile(texts)
+        flags = line_flags(p.data, p.lines).astype(np.uint8)
+        first = np.searchsorted(p.lines.text, np.arange(texts.n + 1))
+        packed = [np.packbits(flags[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(np.diff(first), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "quality", "lines", "flags"])
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """The field for `labels`(doc_id, quality): a bounded sample, see the module's text."""
-    ids = []
-    for quality in (0, 1):
-        chosen = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample)
-        ids += [(int(r["doc_id"]), quality) for r in chosen.collect()]
-    quality_of = dict(ids)
-    rows = docs.filter(F.col("doc_id").isin(list(quality_of))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).toArrow() if ids else None
-    if rows is None or len({quality_of[x] for x in rows["doc_id"].to_pylist()}) < 2:
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    chosen = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample) for q in (0, 1)]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # At most two times `sample` rows of two numbers: a proven bound.
+    rows = plain.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInArrow(_flagged, "doc_id long, quality int, lines long, flags binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("flags", "ascending")])
+    length, label = rows["lines"].to_numpy(), rows["quality"].to_numpy().astype(np.int64)
+    if len(set(label[length > 0].tolist())) < 2:
         return Field.neutral()
-    flags, length, label = [], [], []
-    rows = rows.sort_by("doc_id")
-    for part, texts in tk.slices(iter(rows.to_batches())):
-        p = profile(texts)
-        flags.append(line_flags(p.data, p.lines))
-        length.append(np.bincount(p.lines.text, minlength=texts.n))
-        label.append(np.array([quality_of[x] for x in part.column("doc_id").to_pylist()]))
-    length, label = np.concatenate(length), np.concatenate(label)
-    has = length > 0
-    length, label = length[has], label[has]
-    weight = np.where(label == 1, 0.5 / max((label == 1).sum(), 1), 0.5 / max((label == 0).sum(), 1))
-    return Field.fitted(np.concatenate(flags), length, label, weight) if len(set(label)) == 2 else Field.neutral()
+    flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n * N_FLAGS).reshape(n, N_FLAGS) for x, n in zip(rows["flags"], length.tolist(), strict=True)]).astype(float)
+    length, label = length[length > 0], label[length > 0]
+    weight = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum())
+    return Field.fitted(flags, length, label, weight)
 
 
 def judge(docs: DataFrame, labels: DataFrame, least: float = CONTENT_SHARE) -> DataFrame:
