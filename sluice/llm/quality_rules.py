@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
-from sluice.llm.profile import IS_DIGIT, IS_LETTER, IS_LOWER, IS_STOP, IS_SYMBOL, IS_UPPER, Lines, profile, summed
+from sluice.llm.profile import IS_DIGIT, IS_LETTER, IS_LOWER, IS_STOP, IS_SYMBOL, IS_UPPER, Profile, profile, summed
 from sluice.llm.runtime import small_batches
 
 #: A document is kept if at least this share of it is content.
@@ -27,9 +27,13 @@ CONTENT_SHARE = 0.3
 SAMPLE = 1500
 
 
-def line_flags(data: np.ndarray, lines: Lines) -> np.ndarray:
+def line_flags(p: Profile) -> np.ndarray:
     """0/1 features of each line; the first is always 1."""
+    data, lines = p.data, p.lines
     lo, hi = lines.lo, lines.hi
+    same = np.zeros(len(p.hashes), bool)
+    same[1:] = p.hashes[1:] == p.hashes[:-1]
+    stutter = summed(same, np.searchsorted(p.starts, lo), np.searchsorted(p.starts, hi))
     size = np.maximum(hi - lo, 1)
     letters = np.maximum(summed(IS_LETTER[data], lo, hi), 1)
     upper, lower = summed(IS_UPPER[data], lo, hi), summed(IS_LOWER[data], lo, hi)
@@ -56,11 +60,13 @@ def line_flags(data: np.ndarray, lines: Lines) -> np.ndarray:
         lines.repeated,
         letters > 14 * words,
         letters < 3 * words,
+        (symbols == 0) & (upper * 2 < letters) & (bars == 0) & (bangs * 20 < words) & (words >= 4),
+        stutter * 4 > words,
     ]
     return np.stack(flags, axis=1).astype(np.float64) if len(lo) else np.zeros((0, len(flags)))
 
 
-N_FLAGS = 18
+N_FLAGS = 20
 
 
 class Field:
@@ -148,7 +154,7 @@ def _judge(field: Field, least: float, whole_rows: bool):
             p = profile(texts)
             lines = p.lines
             first = np.searchsorted(lines.text, np.arange(texts.n + 1))
-            label = field.decode(line_flags(p.data, lines), first)
+            label = field.decode(line_flags(p), first)
             size = (lines.hi - lines.lo).astype(np.float64)
             whole = np.bincount(lines.text, size, texts.n)
             share = np.bincount(lines.text, size * label, texts.n) / np.maximum(whole, 1)
@@ -167,7 +173,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's lines as packed flags: what fitting needs of a text."""
     for part, texts in tk.slices(batches):
         p = profile(texts)
-        flags = line_flags(p.data, p.lines).astype(np.uint8)
+        flags = line_flags(p).astype(np.uint8)
         first = np.searchsorted(p.lines.text, np.arange(texts.n + 1))
         packed = [np.packbits(flags[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(np.diff(first), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "quality", "lines", "flags"])
