@@ -12,8 +12,9 @@
     is links, never pairs that are merely alike.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and keeps its own id.
-Repeated rows are returned as often as they come.  A null doc_id joins its equal set's class, and is kept only if that
-has no other id; it links with nothing else.  Other columns are ignored.  An empty table gives an empty result.
+Repeated rows are returned as often as they come; a doc_id stands for one text, and which of several would be linked is
+undefined.  A null doc_id joins its equal set's class, is kept only if that has no other id, and links with nothing
+else.  Other columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WORDS = HASHES * BITS // 64
 FLOOR = 0.6
 #: Members of a bucket, and bytes of their sets, that one task holds against as many others.
 BLOCK, BLOCK_BYTES = 8192, 16 << 20
-#: A third of the low 2-bit values agree by chance; 64-bit mask of each value's first bit.
+#: The first bit of each packed value.
 PAIRS_MASK = 0x5555555555555555
 
 _SALT = (tk.stream(HASHES, 11) >> tk.U(32)).astype(np.uint32)
@@ -186,7 +187,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .filter(estimate("sig_a", "sig_b") >= FLOOR)
         .select("a", "b")
     )
-    links = verified(scratch.keep(likely))
+    likely = scratch.keep(likely)
+    links = verified(likely)
     found = scratch.keep(components(links, scratch))
 
     # Buckets of three or more that hold several components: pairs across those, in blocks of bounded size.
@@ -209,12 +211,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         )
     )
     more = scratch.keep(dealt.groupBy("band", "key", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
-    if more.isEmpty():
-        whole = found
-    else:
+    whole = found
+    if not more.isEmpty():
         # The links found already stand as one link from each node to its component.
-        joined = found.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(more))
+        late = verified(more)
+        joined = found.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)
         whole = scratch.keep(components(joined, scratch))
+        scratch.drop(late, found)
+    scratch.drop(likely, links, member, opened, small, first, more)
     return (
         signed.select("doc_id", "n_shingles", "set_key")
         .join(classes.select("set_key", "set_id"), "set_key", "left")
