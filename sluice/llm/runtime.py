@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to Python at once; texts can be long, so far fewer than Spark's default.
-ARROW_ROWS = 1000
+#: Rows, and bytes, that Spark hands to Python at once; texts can be long, so far fewer than Spark's defaults.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="sluice-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -26,6 +29,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the rows that one Arrow batch carries, so that a worker holds few texts at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 class Scratch:
