@@ -7,6 +7,7 @@ interleaving (top-k dispatch, outcomes, counters, listings); `fold_queues` repla
 from __future__ import annotations
 
 import bisect
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +128,7 @@ class QueueState:
     messages: dict = field(default_factory=dict)  # id -> [priority, attempts, order, deadline or None, reason]
     ready: list = field(default_factory=list)  # (-priority, order, id), sorted
     dead: dict = field(default_factory=dict)  # id -> (priority, attempts, reason, failed at ms), in order of failure
+    due: list = field(default_factory=list)  # heap of (deadline, order, id); entries of messages that moved on are skipped
     order: int = 0
 
     def _enqueue(self, id_: str) -> None:
@@ -152,8 +154,11 @@ class QueueState:
             self._enqueue(id_)
 
     def expire(self, now: int) -> None:
-        for _, _, id_ in sorted((m[3], m[2], i) for i, m in self.messages.items() if m[3] is not None and m[3] <= now):
-            self._fail(id_, TIMEOUT, now)
+        while self.due and self.due[0][0] <= now:
+            deadline, order, id_ = heapq.heappop(self.due)
+            message = self.messages.get(id_)
+            if message is not None and message[2] == order and message[3] == deadline:
+                self._fail(id_, TIMEOUT, now)
 
     def apply(self, op: str, now: int, id_: str | None = None, priority: int | None = None, max_n: int | None = None, reason: str | None = None) -> tuple[list[tuple[str, int]], bool]:
         """Deliveries (id, attempt), and whether the op had an effect."""
@@ -166,6 +171,7 @@ class QueueState:
             for _, _, each in self.ready[: max_n if max_n is not None else CONSUME_BATCH]:
                 message = self.messages[each]
                 message[1], message[3] = message[1] + 1, now + self.visibility_ms
+                heapq.heappush(self.due, (message[3], message[2], each))
                 out.append((each, message[1]))
             del self.ready[: len(out)]
             return out, bool(out)
@@ -190,6 +196,7 @@ class QueueState:
             self.messages.clear()
             self.ready.clear()
             self.dead.clear()
+            self.due.clear()
         else:
             return [], False
         return [], True
