@@ -33,7 +33,7 @@ from sluice.llm.runtime import parts, small_batches, text_bytes
 
 KEY = 16
 #: Bytes of text in a block, and for each bucket of elected positions; one task holds the former, and what is elected in the latter.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 U = np.uint64
 _CODEC = "zstd"
 
