@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.decontaminate import without_overlaps
-from sluice.llm.minhash import near_duplicates
+from sluice.llm.minhash import representatives
 from sluice.llm.packing import pack
 from sluice.llm.quality_rules import retained
 from sluice.llm.repeats import remove_repeats
@@ -25,9 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays, once."""
-    stays = near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
-    return docs.select(COLUMNS).join(stays, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays, once; rows with a null or shared doc_id are judged each by their own text."""
+    return representatives(docs.select(COLUMNS), shingle=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go, also those with a null doc_id; a clean row that shares a doc_id with one stays."""
     return without_overlaps(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

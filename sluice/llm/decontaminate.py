@@ -12,6 +12,8 @@ verified spans are shuffled, by document.
 
 Defined results: null texts and texts shorter than a seed overlap nothing, and so do such items; equal items are each
 reported; repeated documents are reported once for each doc_id; an empty table on either side gives no rows.
+`without_overlaps` does not rest on doc_id: each row is judged by its own text, under a number written for it, so a
+null doc_id is judged like any other, and of rows that share a doc_id only those that overlap an item go.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.runtime import Scratch
 from sluice.llm.words import alnum_words, spots, word
 
 MASKS = ("111010011", "110010111", "101101101")
@@ -64,5 +67,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that overlap no benchmark item."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, all columns, that overlap no benchmark item, each judged by its own text."""
+    row = "_row"
+    rows = Scratch(docs.sparkSession).numbered(docs, row)
+    found = overlaps(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(found, row, "left_anti").select(docs.columns)

@@ -15,6 +15,9 @@ Defined results: a null text, or one without words, has an empty set, links with
 Repeated rows are returned as often as they come; a doc_id stands for one text, and which of several would be linked is
 undefined.  A null doc_id joins its equal set's class, is kept only if that has no other id, and links with nothing
 else.  Other columns are ignored.  An empty table gives an empty result.
+
+`representatives` does not rest on doc_id: each row is judged by its own text, under a number written for it, so null
+and repeated doc_ids lose no text.
 """
 
 from __future__ import annotations
@@ -231,3 +234,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             F.coalesce("set_id", "doc_id").alias("set_id"),
         )
     )
+
+
+def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component of rows one.
+
+    That is the one with the smallest doc_id, null behind all others, and of equal ids the one with the smallest hash
+    of its text.  A row whose text has no words links with nothing and stays, but of equal rows (doc_id not null) one.
+    """
+    scratch = Scratch(docs.sparkSession)
+    row = "_row"
+    rows = scratch.numbered(docs, row)
+    judged = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle, percent)
+    judged = judged.select(F.col("doc_id").alias(row), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    ids = rows.select(row, "doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("doc_id").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("text"))
+    wordless = F.col("component").isNull()
+    # Texts without words: equal rows share a group, and a null doc_id has the row's own.
+    group = [F.col("component"), *(F.when(wordless, x) for x in (F.col("doc_id"), F.col("text"), F.when(F.col("doc_id").isNull(), F.col(row))))]
+    stays = judged.join(ids, row).groupBy(*[x.alias(f"g{i}") for i, x in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", row)).alias("least"))
+    return rows.join(stays.select(F.col(f"least.{row}").alias(row)), row, "left_semi").select(docs.columns)

@@ -50,6 +50,10 @@ class Scratch:
         out._sluice_path = path
         return out
 
+    def numbered(self, df: DataFrame, name: str) -> DataFrame:
+        """df with a number for each row, written so that every reading of it sees the same numbers."""
+        return self.keep(df.withColumn(name, F.monotonically_increasing_id()))
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that keep() wrote and that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -37,3 +37,25 @@ def test_stages(spark):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     again = corpus_pipeline.run(spark, DATA)
     assert sorted(map(tuple, again.select(columns).collect())) == sorted(tuple(r[c] for c in columns) for r in steps["packing"])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_null_and_shared_ids_lose_no_text(spark):
+    """Near duplicates: every group keeps one row, the smallest id's; only texts decide, however many rows have no id or share one."""
+    words = [f"w{i}" for i in range(40)]
+    a, b, c, d, e = (" ".join(words[k:] + [f"x{k}"] * (k + 1)) for k in (0, 9, 17, 25, 33))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (9, e), (None, e), (5, e), (3, ""), (3, ""), (4, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate(spark, docs, DATA).collect()]
+    want = [(None, a), (None, b), (7, c), (7, d), (5, e), (3, ""), (4, None), (None, ""), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_contaminated_rows_go_by_their_own_text(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = [(None, f"before {item} after"), (None, "clean without an id"), (7, item), (7, "clean beside it"), (8, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
