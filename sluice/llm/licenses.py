@@ -3,7 +3,11 @@
 Every word k-gram of every text is hashed and joined to the places it has in the license templates.  A hit votes for
 the diagonal text place - template place; votes are counted by (text, template, diagonal) before anything is shuffled
 further, neighbouring diagonals (insertions and deletions) are merged, and the span of a merged diagonal is verified:
-enough of the template's k-grams, and enough of the span's.  Exact phrases (the base) are found in the same pass.
+enough of the template's k-grams, and enough of the span's.  Notices that differ by a word or two pass that alike, so
+the words that tell them apart (`MARKS`) are looked at: a template's own must stand in the span, and those of another
+license must not stand in the span or the stretch the whole template would cover.  A NonCommercial-ShareAlike notice
+has both labels; NoDerivatives, Lesser and Affero, of which there is no template, have none.  Exact phrases (the base)
+and these words are found in the same pass.
 
 The template table has a fixed size and is broadcast.  A text's hits are bounded by its own length, so no group grows
 with the corpus.  Defined results: null and empty texts have no words and no labels; repeated rows are scanned each.
@@ -58,11 +62,33 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Words, one after another, that tell notices apart, and what they say; short forms only after others.
+MARKS = {
+    "noncommercial": "nc", "non commercial": "nc", "by nc": "nc",
+    "sharealike": "sa", "share alike": "sa", "by sa": "sa", "nc sa": "sa",
+    "noderivatives": "nd", "noderivs": "nd", "no derivatives": "nd", "no derivs": "nd", "by nd": "nd", "nc nd": "nd",
+    "gnu lesser": "lesser", "gnu library": "lesser", "gnu affero": "affero",
+}
+#: By label: what must be said in the span, and what must not.
+NEEDS = {"cc-by-nc": "nc", "cc-by-sa": "sa"}
+BARS = {"cc-by": ["nc", "sa", "nd"], "cc-by-nc": ["nd"], "cc-by-sa": ["nd"], "gpl": ["lesser", "affero"]}
+
 
 def _gram(words: str, at: Column) -> Column:
     return F.xxhash64(*[word(words, at + j) for j in range(K)])
 
 
+def _phrase_at(phrases: dict[str, str]) -> Column:
+    """What the phrase that begins at place i stands for; null if none does."""
+    out = F.lit(None).cast("string")
+    for phrase, label in phrases.items():
+        match = F.lit(True)
+        for j, part in enumerate(phrase.split()):
+            match = match & word("words", F.col("i") + j).eqNullSafe(F.lit(part))
+        out = F.when((F.col("i") >= 0) & match, F.lit(label)).otherwise(out)
+    return out
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
     """gram -> its places: array of (template, label, place, grams of the template)."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, text string")
@@ -78,16 +104,11 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), alnum_words(F.col("text")).alias("words"))
     # One place more, -1, stands for the text itself, so that one pass gives texts without hits too.
     at = rows.select("doc_id", "row", "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("i"))
-    base = F.lit(None).cast("string")
-    for phrase, label in PHRASES.items():
-        match = F.lit(True)
-        for j, part in enumerate(phrase.split()):
-            match = match & word("words", F.col("i") + j).eqNullSafe(F.lit(part))
-        base = F.when((F.col("i") >= 0) & match, F.lit(label)).otherwise(base)
+    base, mark = _phrase_at(PHRASES), _phrase_at(MARKS)
     gram = F.when((F.col("i") >= 0) & (F.col("i") + K <= F.size("words")), _gram("words", F.col("i")))
-    at = at.select("doc_id", "row", "i", F.size("words").alias("n"), base.alias("base"), gram.alias("gram"))
-    hits = at.join(F.broadcast(template_grams(spark)), "gram", "left").filter("i = -1 or base is not null or places is not null")
-    hits = scratch.keep(hits.select("doc_id", "row", "i", "n", "base", "places"))
+    at = at.select("doc_id", "row", "i", F.size("words").alias("n"), base.alias("base"), mark.alias("mark"), gram.alias("gram"))
+    hits = at.join(F.broadcast(template_grams(spark)), "gram", "left").filter("i = -1 or base is not null or mark is not null or places is not null")
+    hits = scratch.keep(hits.select("doc_id", "row", "i", "n", "base", "mark", "places"))
 
     per_text = hits.groupBy("row", "doc_id").agg(
         F.max("n").cast("long").alias("n_words"),
@@ -107,11 +128,21 @@ def scan(docs: DataFrame) -> DataFrame:
         votes.withColumn("fresh", F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEIGHBOUR, 0).otherwise(1))
         .withColumn("run", F.sum("fresh").over(line))
         .groupBy("row", "template", "label", "grams", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("begin"), (F.max("diagonal") + F.col("grams") + K - 1).alias("end"))
         .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
         .filter((F.col("coverage") >= COVERAGE) & (F.col("votes") >= DENSITY * (F.col("hi") - F.col("lo") + 1)))
     )
-    found = merged.groupBy("row").agg(
+    marks = hits.filter("mark is not null").groupBy("row").agg(F.collect_list(F.struct("i", "mark")).alias("marks"))
+    told = merged.join(marks, "row", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<i:int,mark:string>>")))
+    need, bars = F.lit(None).cast("string"), F.array().cast("array<string>")
+    for label, own in NEEDS.items():
+        need = F.when(F.col("label") == label, F.lit(own)).otherwise(need)
+    for label, others in BARS.items():
+        bars = F.when(F.col("label") == label, F.array(*map(F.lit, others))).otherwise(bars)
+    told = told.withColumn("need", need).withColumn("bars", bars)
+    says = F.exists("marks", lambda m: (m["mark"] == F.col("need")) & (m["i"] >= F.col("lo")) & (m["i"] < F.col("hi") + K))
+    denies = F.exists("marks", lambda m: F.array_contains("bars", m["mark"]) & (m["i"] >= F.least("lo", "begin")) & (m["i"] < F.greatest(F.col("hi") + K, F.col("end"))))
+    found = told.filter((F.col("need").isNull() | says) & ~denies).groupBy("row").agg(
         F.collect_set("label").alias("own_set"),
         F.max("coverage").alias("coverage"),
         F.sort_array(F.collect_list(F.struct("lo", (F.col("hi") + K).alias("hi"), "label"))).alias("spans"),

@@ -39,6 +39,20 @@ def test_license_diagonals(spark):
     assert got[1].score == 1.0 and got[1].spans[0].lo == 1 and 0.5 <= got[2].score < 1
 
 
+def test_license_near_variants(spark):
+    """Notices that differ by a word get the label of their own words only."""
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    cases = [
+        (cc.format(""), "cc-by"), (cc.format("-NonCommercial"), "cc-by-nc"), (cc.format("-ShareAlike"), "cc-by-sa"), (cc.format("-NoDerivatives"), ""), (cc.format("-Non-Commercial"), "cc-by-nc"),
+        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc,cc-by-sa"), (cc.format("-NonCommercial-NoDerivatives"), ""), (cc.format("-No-Derivs"), ""),
+        (f"{cc.format('')} NonCommercial uses and {cc.format('')}", "cc-by"), (f"{cc.format('')} {cc.format('-ShareAlike')}", "cc-by,cc-by-sa"),
+        (gnu.format(""), "gpl"), (gnu.format("Lesser "), ""), (gnu.format("Affero "), ""), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), ("Licensed under CC BY-NC-ND 4.0.", "cc-by"),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], SCHEMA)).collect()
+    assert [r.labels for r in sorted(got)] == [want for _, want in cases]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
