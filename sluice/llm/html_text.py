@@ -7,12 +7,17 @@ page, is worth 1; one that looks and reads the same everywhere is worth 0.  A br
 own with its children's.  From each page go the branches that are structural boilerplate by element or name, and the
 container branches whose composite importance is below `LEAST`.
 
+A class or id name alone is weak evidence: wrappers of whole pages are called has-sidebar or search-page.  So what its
+name condemns is decided once the page is read (`Page.lifted`): a wrapper of the page's main, article or most of its
+text stays, and a page that names alone would empty keeps what they condemn.
+
 The counts are made by (host, path, value) and so a host with a third of all pages is spread over its values; what is
 joined back to a host's pages are only its paths of low importance, broadcast if they have been counted and number at
 most `BROADCAST_PATHS`, otherwise by a join that Spark can split.
 
 Defined results: null or empty html gives an empty text; pages of hosts with fewer than `PAGES` pages are judged by
-structure alone; a page all of whose text would go by importance keeps what structure keeps; repeated pages are
+structure alone; a page all of whose text would go by importance keeps what structure keeps, one all of whose text
+would go by class and id names keeps what no element, role or style condemns; repeated pages are
 extracted each; an empty table gives an empty result.
 """
 
@@ -52,6 +57,8 @@ BOILERPLATE = frozenset(
     "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus respond replies share sharing social "
     "related recommended newsletter subscribe subscription signup login search widget widgets pagination pager skip".split()
 )
+#: Those of them whose elements often hold articles and long texts that are not the page's own.
+OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<[!?][^>]*>", re.DOTALL)
@@ -66,8 +73,19 @@ class Page:
     """Elements in page order, and blocks of text in the element that holds them.  Time and memory are linear in the page."""
 
     def __init__(self, source: str):
+        self._parse(source, frozenset(), frozenset())
+        for stays, loose in self.lifted():
+            self._parse(source, stays, loose)
+            if self.blocks:
+                break
+
+    def _parse(self, source: str, stays: frozenset[int], loose: frozenset[int]) -> None:
+        """stays: elements that go not by their names; loose: those of them whose articles do not make the rest go."""
+        self.stays, self.loose = stays, loose
         # Of each element: parent, tag, path (a number that stands for it), whether it goes, whether it is in the main part.
         self.parent, self.tag, self.path, self.dropped, self.main = [-1], [""], [0], [False], [False]
+        # Whether it goes whatever its name, the condemning words of its name, kind of main part, bytes of own text, whether under a loose one.
+        self.hard, self.named, self.kind, self.weight, self.under = [False], [None], [""], [0], [False]
         self.children: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self.stack, self.holders, self.open = [0], [0], Counter()  # open elements, the block around each, open tags
@@ -96,6 +114,8 @@ class Page:
         self._flush()
 
     def _text(self, raw: str) -> None:
+        if not self.hard[self.stack[-1]]:
+            self.weight[self.stack[-1]] += len(raw.strip())
         if self.dropped[self.stack[-1]]:  # an inline element that goes does not part the block around it
             return
         self.buffer.append(entities.unescape(raw) if "&" in raw else raw)
@@ -153,13 +173,21 @@ class Page:
         inside = self.main[up]
         words = set(_NAME.findall(_CAMEL.sub(r"\1-\2", names).lower())) if names else ()
         whole = name in ("html", "body", "article", "main")
-        drop = self.dropped[up] or name in DROPPED or role in ROLES or hidden or (not whole and not BOILERPLATE.isdisjoint(words))
-        drop = drop or (not inside and not whole and (name == "header" or "header" in words))
+        hard = self.hard[up] or name in DROPPED or role in ROLES or hidden or (not inside and name == "header")
+        bad = set() if whole or not words else BOILERPLATE.intersection(words) | ({"header"} & words if not inside else set())
+        drop = self.dropped[up] or hard or (bool(bad) and node not in self.stays)
+        under = self.under[up] or node in self.loose
+        kind = "main" if "main" in (name, role) else "article" if "article" in (name, role) else ""
+        self.hard.append(hard)
+        self.named.append((bad, not bad.isdisjoint(names.lower().split())) if bad else None)
+        self.kind.append(kind)
+        self.weight.append(0)
+        self.under.append(under)
         self.parent.append(up)
         self.tag.append(name)
         self.path.append(stable_id(f"{self.path[up]}/{name}{_DIGITS.sub('0', '.'.join(sorted(names.split()))) if names else ''}"))
         self.dropped.append(drop)
-        self.main.append((inside or name in ("article", "main") or role in ("main", "article")) and not drop)
+        self.main.append((inside or (kind != "" and not under)) and not drop)
         self.children.append([])
         if not closed or name in ("p", "div", "span"):
             self.stack.append(node)
@@ -179,6 +207,53 @@ class Page:
             if name not in BLOCKS and tag in BLOCKS:
                 return
 
+    def lifted(self) -> list[tuple[frozenset[int], frozenset[int]]]:
+        """What stays in spite of its name, as _parse() takes it: choices to be tried until one leaves text; none if names condemn nothing that should stay.
+
+        A name is strong if it is a word of `BOILERPLATE` by itself (sidebar), weak if it only holds one (has-sidebar).
+        """
+        named = [node for node, words in enumerate(self.named) if words and not self.hard[node]]
+        if not named:
+            return []
+        n, first = len(self.tag), [False] * len(self.tag)  # first: condemned, and under nothing condemned
+        weight, all_weight = list(self.weight), list(self.weight)  # text but for what strong names condemn, all text
+        holds: list[set[str]] = [set() for _ in range(n)]
+        any_holds: list[bool] = [False] * n
+        for node in range(n - 1, 0, -1):
+            up, words = self.parent[node], self.named[node]
+            if self.hard[node]:
+                continue
+            if self.kind[node] and all_weight[node]:
+                any_holds[node] = True
+                holds[node].add(self.kind[node])
+            first[node] = bool(words) and not self.dropped[up]
+            all_weight[up] += all_weight[node]
+            any_holds[up] = any_holds[up] or any_holds[node]
+            if words and words[1]:  # only a page's main is carried up through a strong name
+                holds[node] &= {"main"}
+            if not (words and words[1]) or holds[node]:
+                weight[up] += weight[node]
+            holds[up] |= holds[node]
+        standing = any(self.main[node] and self.weight[node] for node in range(1, n))
+        stays, loose = set(), set()
+        for node in named:
+            words, strong = self.named[node]
+            most, others = 2 * weight[node] > weight[0], not OTHERS.isdisjoint(words)
+            if standing:
+                lift = most and not strong and not others
+            else:
+                lift = "main" in holds[node] or (not strong and (most or ("article" in holds[node] and not others)))
+            if lift:
+                stays.add(node)
+                if not standing and "main" not in holds[node] and (others or not most):
+                    loose.add(node)
+        tries = [(frozenset(stays), frozenset(loose))] if stays else []
+        if not any(not self.dropped[node] and self.weight[node] for node in range(n)):
+            tries.append((frozenset(stays.union(x for x in named if any_holds[x])), frozenset()))
+            tries.append((frozenset(stays.union(x for x in named if first[x])), frozenset()))
+            tries.append((frozenset(named), frozenset()))
+        return tries
+
     def text(self, low: dict[int, tuple[float, int]] | None = None) -> str:
         """Blocks that stay; low: (importance, styles) of this host's paths of low importance."""
         whole = any(self.main[node] for node, _ in self.blocks)

@@ -22,6 +22,30 @@ def test_pages(html, text):
     assert Page(html).text() == text
 
 
+LONG = "words of the article " * 5
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "search-page", "menu-open", "related-layout", "hasSidebar", "page has-header", "widget", "sidebar"])
+def test_named_wrappers_keep_the_article(name):
+    assert Page(f"<div class='{name}'><article><h1>T</h1><p>one</p></article></div>").text() == "T\none"
+    assert Page(f"<body class='{name}'><div id='{name}'><nav>n</nav><div class='ad'>buy</div><main><header>H</header><p>one</p></main></div><p>stray</p>").text() == "H\none"
+    assert Page(f"<div class='{name}'><div class='{name}'><article><p>one</p></article></div></div>").text() == "one"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<div class='has-sidebar'><div class=post><p>{LONG}</div><div class=sidebar>links</div></div><p>end", f"{LONG.strip()}\nend"),
+        (f"<main><h1>T</h1><div class='with-sidebar'><p>{LONG}</div></main>", f"T\n{LONG.strip()}"),
+        (f"<p>{LONG}</p><div class='no-sidebar'><article>short</article></div>", f"{LONG.strip()}\nshort"),
+        (f"<div class=post>post</div><div class=comments><article>{LONG}</article></div>", "post"), (f"<main>post<div class='comments-area'><article>{LONG}</article></div></main>", "post"),
+        (f"<div class=post>{LONG}</div><div class='related-posts'><article>teaser</article></div>", LONG.strip()), ("<div class='no-sidebar'><form>f</form><div hidden>h</div></div>", ""),
+    ],
+)
+def test_names_are_weighed_once_the_page_is_read(html, text):
+    assert Page(html).text() == text
+
+
 def test_site_style_tree(spark):
     """A branch with no boilerplate name that reads the same on every page of a host goes; on few pages, or with own text, it stays."""
     def page(i, box):
