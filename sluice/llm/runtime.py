@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +18,11 @@ ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder for written intermediate tables: spark.checkpoint.dir, or a fresh one where it is unset and driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="sluice-checkpoint-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -26,21 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that one Arrow batch carries, so that a worker holds few texts at a time."""
+    """Bound the rows that one Arrow batch carries, so that a worker holds few texts at a time.
+
+    Spark reads these settings when a result is executed, which is after an operator has returned, so they stay as they
+    are set here; a session that already asks for fewer rows is left alone.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def _delete(jvm, conf, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    Results read them when they are executed, so they are deleted when the driver's process ends; drop() deletes sooner.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
         self.count = 0
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(self._close)
         small_batches(spark)
 
+    def _close(self) -> None:
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone
+            _delete(self._jvm, self._conf, self.root)
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it back."""
         self.count += 1
@@ -56,11 +78,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that keep() wrote and that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._sluice_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self._jvm, self._conf, table._sluice_path)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:

@@ -1,7 +1,10 @@
+import math
+from collections import Counter, defaultdict
+
 import pytest
 
 from sluice.llm import html_text
-from sluice.llm.html_text import Page
+from sluice.llm.html_text import Page, Tree, path_key
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -38,6 +41,9 @@ def test_named_wrappers_keep_the_article(name):
         (f"<div class='has-sidebar'><div class=post><p>{LONG}</div><div class=sidebar>links</div></div><p>end", f"{LONG.strip()}\nend"),
         (f"<main><h1>T</h1><div class='with-sidebar'><p>{LONG}</div></main>", f"T\n{LONG.strip()}"),
         (f"<p>{LONG}</p><div class='no-sidebar'><article>short</article></div>", f"{LONG.strip()}\nshort"),
+        ("<div class='entry'><header><h1>Title</h1></header><p>one</div>", "Title\none"), ("<header><h1>Site</h1></header><p>one", "one"),
+        ("<article><div class='post share-enabled'>a</div><p class='notice-board'>b</p><section class='related-work'>c</section></article>", "a\nb\nc"),
+        ("<article>x<svg><path>drawn</svg>y</article><p>z", "xy"), ("<canvas>c<p>no</canvas><p>k", "k"), ("<p>a <span class=ad>buy</span>b</p>", "a b"),
         (f"<div class=post>post</div><div class=comments><article>{LONG}</article></div>", "post"), (f"<main>post<div class='comments-area'><article>{LONG}</article></div></main>", "post"),
         (f"<div class=post>{LONG}</div><div class='related-posts'><article>teaser</article></div>", LONG.strip()), ("<div class='no-sidebar'><form>f</form><div hidden>h</div></div>", ""),
     ],
@@ -72,3 +78,59 @@ def test_nulls_extra_columns_and_joins(spark, monkeypatch, most):
     got = sorted(((r.page_id or 0, r.url, r.text[:5], r.n_chars) for r in html_text.extract(df).collect()), key=str)
     assert got == sorted([(1, None, "x", 1), (1, None, "x", 1), (2, "not a url", "", 0), (0, "http://a/", "", 0), (3, "http://a/", "long ", 249_999)], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def plain_importances(rows):
+    """The style tree by plain counting: {path key: (importance, styles)}, and under path_key(host, 0, 0) the hosts that have one."""
+    pages, styles, blocks = defaultdict(set), defaultdict(Counter), defaultdict(lambda: defaultdict(set))
+    for i, (host, source) in enumerate(rows):
+        page = Page(source or "")
+        pages[path_key(host, 0, 0)].add(i)
+        seen = set()
+        for node in range(1, len(page.tag)):
+            key = path_key(host, page.path[node], 1)
+            if not page.hard[node]:
+                pages[key].add(i)
+                seen.add((key, tuple(page.children[node])))
+        for key, style in seen:
+            styles[key][style] += 1
+        for holder, _, pieces in page.blocks:
+            key = path_key(host, page.path[holder], 2)
+            pages[key].add(i)
+            blocks[key][" ".join("".join(pieces).split())].add(i)
+    out = {}
+    for key, held in pages.items():
+        m = len(held)
+        if m < html_text.PAGES:
+            continue
+        if key in blocks:
+            worth = 1 - sum(math.log(len(x), m) for x in blocks[key].values()) / len(blocks[key])
+        elif key in styles:
+            total = sum(styles[key].values())
+            worth = -sum(n / total * math.log(n / total, m) for n in styles[key].values())
+        else:
+            worth = 1.0
+        out[key] = (worth, max(len(styles[key]), 1))
+    return out
+
+
+def test_against_a_plain_style_tree(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("page_id", "replace(url, 'www.', '') as url", "html")
+    extra = [(-i, "http://lists.example/x", f"<header><h1>Headline {i}</h1></header><div>{'<p>'.join(f'{i} {k}' for k in range(i % 5 + 1))}</div><div class=box>all alike</div>") for i in range(1, 20)]
+    pages = pages.unionByName(spark.createDataFrame(extra, SCHEMA))
+    host = "xxhash64(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)))"
+    rows = pages.selectExpr("page_id", f"{host} as host", "html").collect()
+    known = plain_importances([(r.host, r.html) for r in rows])
+    want = sorted((r.page_id, Page(r.html or "").text(Tree(r.host, known) if path_key(r.host, 0, 0) in known else None)) for r in rows)
+    assert sorted((r.page_id, r.text) for r in html_text.extract(pages).collect()) == want
+    assert all(text.startswith(f"Headline {-i}\n") and "alike" not in text for i, text in want if i < 0)
+
+
+def test_the_tree_decides(spark):
+    """Pages that change once every path is worth 1, with names and without them: adverts stand outside the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = lambda **how: {r.page_id: r.text for r in html_text.extract(pages, **how).collect()}
+    right, blind, nameless, neither = texts(), texts(use_tree=False), texts(names=False), texts(use_tree=False, names=False)
+    changed = lambda a, b: sum(a[i] != b[i] for i in a) / len(a)
+    assert changed(right, blind) > 0.5 and changed(nameless, neither) > 0.5
+    assert right == {r.page_id: Page(r.html).text() for r in pages.collect()}
