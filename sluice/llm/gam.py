@@ -7,7 +7,9 @@ score is the sum of table entries at a text's bins, looked up for a whole batch
 
 The fit uses at most `sample` labelled rows, those with the smallest hash of doc_id; tables and bins are the model.
 Defined results: null and empty texts are scored from their zero features; without rows of both labels every score is
-the share of label 1 (0.5 without labelled rows); repeated rows are scored each.
+the share of label 1 (0.5 without labelled rows); repeated rows are scored each, and of rows that share a labelled
+doc_id one is learnt from; a null doc_id is not held out; between cuts of equal gain the lowest wins; very long texts
+are worked on one at a time; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
 from sluice.llm.profile import IS_DIGIT, IS_LEAD, IS_LETTER, IS_LOWER, IS_STOP, IS_SYMBOL, IS_UPPER, profile, summed
-from sluice.llm.runtime import small_batches
+from sluice.llm.runtime import columns, small_batches
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 12_000, 32, 12, 6
 NAMES = [
@@ -53,13 +55,13 @@ def features(texts: tk.Texts) -> np.ndarray:
     last = data[np.maximum(p.ends - 1, 0)] if len(p.ends) else np.empty(0, np.uint8)
     line_last = data[np.maximum(p.lines.hi - 1, 0)] if len(p.lines.hi) else np.empty(0, np.uint8)
     letters = IS_LETTER[data]
-    columns = [
+    values = [
         np.log1p(chars), np.log1p(words), p.word_chars / some, count(IS_UPPER[data]) / size, count(IS_LOWER[data]) / size, count(IS_DIGIT[data]) / size,
         p.n_symbols / size, count(data == 124) / size, count(data == 33) / size, count(IS_STOP[data]) / size, count((data > 32) & (data < 127) & ~letters & ~IS_DIGIT[data] & ~IS_STOP[data] & ~IS_SYMBOL[data]) / size, count(data >= 128) / size,
         np.bincount(t[start], minlength=n) / some, p.n_dup_lines / np.maximum(lines, 1), p.n_repeat_words / some, chars / np.maximum(lines, 1), np.log1p(lines), of_words(IS_SYMBOL[last]) / some, of_words(last == 33) / some, commonest / some,
         of_words(p.ends - p.starts > 14) / some, np.bincount(p.lines.text, IS_STOP[line_last].astype(float), n) / np.maximum(lines, 1),
     ]
-    return np.stack([np.asarray(c, float) for c in columns], axis=1)
+    return np.stack([np.asarray(c, float) for c in values], axis=1)
 
 
 def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int = 4) -> np.ndarray:
@@ -177,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs(doc_id, text), labels(doc_id, quality); rows whose crc32(doc_id) mod 3 is 1 are never read."""
     chosen = labels.filter(~held_out() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
-    # At most `sample` rows of two numbers: a proven bound.
-    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_measure, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
+    # At most `sample` rows of two numbers are broadcast, and as many come back: one row for each doc_id.
+    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_measure, "doc_id long, quality int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("one")).select("doc_id", "one.*").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return Model(0.0)
     return Model.fitted(np.array(rows["x"].to_pylist(), float), rows["quality"].to_numpy().astype(float))
@@ -196,5 +199,5 @@ def _scored(model: Model):
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, quality, ...) -> doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(_scored(fit(plain, labels, sample)), "doc_id long, held_out boolean, score double, predicted int")
+    plain = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInArrow(_scored(fit(plain, columns(labels, "doc_id", "quality"), sample)), "doc_id long, held_out boolean, score double, predicted int")

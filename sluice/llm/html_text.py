@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import Scratch
+from sluice.llm.runtime import Scratch, columns
 
 PAGES, DECAY = 5, 0.9
 LEAST, NAMED, OUTSIDE, NEVER, HEADLINE = 0.15, 0.95, 0.93, 2.0, 0.5
@@ -390,8 +390,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.add((host, content, 2, stable_id(" ".join("".join(pieces).split()))))
             own.add((host, 0, 0, 0))
             tally.update(own)
-        columns = [*zip(*tally, strict=True), tuple(tally.values())] if tally else ([],) * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "kind", "value", "n"])
+        found = [*zip(*tally, strict=True), tuple(tally.values())] if tally else ([],) * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "kind", "value", "n"])
 
 
 def importances(pages: DataFrame) -> DataFrame:
@@ -423,8 +423,8 @@ def _extracted(hosts: list[int], sources: pa.Array, known: dict, use_tree: bool,
 
 def _known(paths: pa.Table) -> dict[int, tuple[float, int]]:
     """Importances by path; that a host has a tree stands under its own key."""
-    columns = [paths[c].to_pylist() for c in ("host", "path", "importance", "styles")]
-    return {path if path else path_key(host, 0, 0): (importance, styles) for host, path, importance, styles in zip(*columns, strict=True)}
+    rows = [paths[c].to_pylist() for c in ("host", "path", "importance", "styles")]
+    return {path if path else path_key(host, 0, 0): (importance, styles) for host, path, importance, styles in zip(*rows, strict=True)}
 
 
 def _texts(known, use_tree: bool, names: bool):
@@ -453,7 +453,7 @@ def extract(pages: DataFrame, use_tree: bool = True, names: bool = True) -> Data
     spark = pages.sparkSession
     scratch = Scratch(spark)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    plain = pages.select("page_id", "url", F.xxhash64(host).alias("host"), F.col("html").cast("string").alias("html"))
+    plain = columns(pages, "page_id", "url", "html").select("page_id", "url", F.xxhash64(host).alias("host"), F.col("html").cast("string").alias("html"))
     paths = scratch.keep(importances(plain.select("host", "html")))
     types = {f.name: f.dataType.simpleString() for f in plain.schema}
     schema = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long"

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import Scratch
+from sluice.llm.runtime import Scratch, columns
 from sluice.llm.words import alnum_words, spots, word
 
 K, NEIGHBOUR, COVERAGE, DENSITY = 3, 2, 0.5, 0.6
@@ -101,7 +101,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), alnum_words(F.col("text")).alias("words"))
+    rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), alnum_words(F.col("text")).alias("words"))
     # One place more, -1, stands for the text itself, so that one pass gives texts without hits too.
     at = rows.select("doc_id", "row", "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("i"))
     base, mark = _phrase_at(PHRASES), _phrase_at(MARKS)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
-from sluice.llm.runtime import Scratch, components
+from sluice.llm.runtime import Scratch, columns, components
 
 BANDS, ROWS_IN_BAND, BITS = 32, 4, 2
 HASHES = BANDS * ROWS_IN_BAND
@@ -168,7 +168,7 @@ def _across(percent: int):
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, set_id (smallest doc_id with an equal set)."""
     scratch = Scratch(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(plain.mapInArrow(_signer(shingle), SIGNATURE_SCHEMA))
     classes = scratch.keep(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies")))
     first = scratch.keep(

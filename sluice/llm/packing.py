@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
-from sluice.llm.runtime import Scratch
+from sluice.llm.runtime import Scratch, columns
 
 END = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, dealt long, local long"
@@ -140,7 +140,7 @@ def _placed(rows: np.ndarray):
 def pack(docs: DataFrame, capacity: int = 1024, documents: int = 1024, cost: int = 1024 * 1024, rule: str = "norm", tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.keep(plain.mapInArrow(_cut(tokenizer, capacity), PIECES))
     each = scratch.keep(pieces.groupBy("length", "dealt").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

@@ -91,13 +91,13 @@ def lines_of(texts: tk.Texts, starts: np.ndarray) -> Lines:
     words = np.searchsorted(starts, hi) - np.searchsorted(starts, lo)
     keep = words > 0
     lo, hi, text, words = lo[keep], hi[keep], text[keep], words[keep]
-    up, down = tk.powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(tk.BYTE_CODES[data] * up[: len(data)], out=sums[1:])
-    key = tk.mix(tk.mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U)) + text.astype(U) * U(tk.MULTIPLIER))
-    order = np.argsort(key, kind="stable")
-    repeated = np.zeros(len(lo), bool)
-    repeated[order[1:]] = key[order][1:] == key[order][:-1]
+    repeated, raw, seen, last = np.zeros(len(lo), bool), data.tobytes(), set(), -1
+    for i in np.flatnonzero(np.bincount(text, minlength=texts.n)[text] > 1).tolist():
+        if text[i] != last:
+            seen, last = set(), text[i]
+        line = raw[lo[i] : hi[i]]
+        repeated[i] = line in seen
+        seen.add(line)
     return Lines(text, lo, hi, words, repeated)
 
 

@@ -1,12 +1,19 @@
 """Quality rules: counts of whole texts, and a linear-chain conditional random field over their lines.
 
-The field labels every line that has a word content or boilerplate.  Its features are a few flags of the line; its
-weights are fitted by gradient ascent of the conditional likelihood on a bounded sample of labelled documents (at most
-`sample` of each quality, those with the smallest hash of doc_id), whose lines take the document's label.  Viterbi
-decoding gives the labels; the share of a text's word-bearing bytes on content lines decides retention.
+The field labels every line that has a word content or boilerplate.  Its features are a few flags of the line.  Only
+documents are labelled, so the labels of the sample's lines are latent (`learn`): a first fit without a chain takes
+each line for its document's kind, and so learns how lines of either kind look; then lines take the label that the
+field itself gives them, but for the least certain that must change so that the content share agrees with the
+document's label, and the field is fitted to these, transitions included, and so on for `ROUNDS` rounds.  A plain line
+in a junk document is thus content, a junk line in a good one boilerplate.  The fit is gradient ascent of the
+conditional likelihood on a bounded sample of labelled documents (at most `sample` of each quality, those with the
+smallest hash of doc_id).  Viterbi decoding gives the labels; the share of a text's word-bearing bytes on content lines
+decides retention.
 
 Defined results: a text without words fails the base rule; without labelled rows of both qualities every line is
-content; repeated rows are judged each; null text has no words.  An empty table gives an empty result.
+content; between labels of equal score content wins; repeated rows are judged each, and of rows that share a labelled
+doc_id one is learnt from; null text has no words; very long texts are worked on one at a time; other columns, whatever
+their names, are ignored by `judge` and returned by `retained`.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
 from sluice.llm.profile import IS_DIGIT, IS_LETTER, IS_LOWER, IS_STOP, IS_SYMBOL, IS_UPPER, Profile, profile, summed
-from sluice.llm.runtime import small_batches
+from sluice.llm.runtime import columns, small_batches
 
 #: A document is kept if at least this share of it is content.
 CONTENT_SHARE = 0.3
-SAMPLE = 1500
+SAMPLE, ROUNDS = 1500, 3
 
 
 def line_flags(p: Profile) -> np.ndarray:
@@ -69,6 +77,48 @@ def line_flags(p: Profile) -> np.ndarray:
 N_FLAGS = 20
 
 
+class Sequences:
+    """Lines of documents laid end to end, the longest document first by `begin` and `alive`, for all to advance at once."""
+
+    def __init__(self, length: np.ndarray, weight: np.ndarray):
+        order = np.argsort(-length, kind="stable")
+        self.first = np.append(0, np.cumsum(length))
+        self.begin = self.first[:-1][order]
+        self.alive = [int((length > t).sum()) for t in range(int(length.max()))]
+        self.document = np.repeat(np.arange(len(length)), length)
+        self.weight = (weight / length / weight.sum())[self.document]
+
+
+def agreeing(margin: np.ndarray, size: np.ndarray, lines: Sequences, quality: np.ndarray, least: float) -> np.ndarray:
+    """Labels of lines: the sign of the margin, the least certain changed until each document's content share fits its quality."""
+    label = (margin >= 0).astype(np.int64)
+    whole = np.bincount(lines.document, size)
+    share = np.bincount(lines.document, size * label) / whole
+    for d in np.flatnonzero((share >= least) != (quality == 1)).tolist():
+        lo, hi = lines.first[d], lines.first[d + 1]
+        wrong = 1 - int(quality[d])
+        held = share[d] * whole[d]
+        for i in (np.argsort(np.abs(margin[lo:hi]), kind="stable") + lo).tolist():
+            if label[i] == wrong:
+                label[i] = 1 - wrong
+                held += size[i] if wrong == 0 else -size[i]
+                if (held >= least * whole[d]) == (wrong == 0):
+                    break
+    return label
+
+
+def learn(flags: np.ndarray, length: np.ndarray, size: np.ndarray, quality: np.ndarray, least: float) -> Field:
+    """The field from documents' qualities, the labels of their lines being latent."""
+    lines = Sequences(length, np.where(quality == 1, 0.5 / (quality == 1).sum(), 0.5 / (quality == 0).sum()))
+    blank = Field(np.zeros((N_FLAGS, 2)), np.zeros((2, 2)))
+    field = blank.fitted(flags, lines, quality[lines.document], chain=False)
+    for _ in range(ROUNDS):
+        _, forward, backward, _ = field.beliefs(flags, lines)
+        both = forward + backward
+        field = field.fitted(flags, lines, agreeing(both[:, 1] - both[:, 0], size, lines, quality, least), chain=True)
+    return field
+
+
 class Field:
     """Weights: emission (flags x 2) and transition (2 x 2); state 1 is content."""
 
@@ -81,46 +131,43 @@ class Field:
         emission[0, 1] = 1.0
         return cls(emission, np.zeros((2, 2)))
 
-    @classmethod
-    def fitted(cls, flags: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 80) -> Field:
-        """Gradient ascent over sequences laid end to end: `length` lines each, one label and weight for each sequence."""
-        order = np.argsort(-length, kind="stable")
-        begin = (np.cumsum(length) - length)[order]
-        length, label, weight = length[order], label[order], weight[order]
-        emission, transition = np.zeros((N_FLAGS, 2)), np.zeros((2, 2))
-        alive = [int((length > t).sum()) for t in range(int(length.max()))]
-        of = np.empty(len(flags), np.int64)
-        for k in range(len(begin)):
-            of[begin[k] : begin[k] + length[k]] = k
+    def beliefs(self, flags: np.ndarray, lines: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, forward and backward sums of each line and state, and each line's total, all as logarithms."""
+        score = flags @ self.emission
+        forward, backward, transition = np.empty_like(score), np.zeros_like(score), self.transition
+        for t, n in enumerate(lines.alive):
+            at = lines.begin[:n] + t
+            forward[at] = score[at] if t == 0 else score[at] + np.logaddexp(forward[at - 1, 0, None] + transition[0], forward[at - 1, 1, None] + transition[1])
+        for t in range(len(lines.alive) - 2, -1, -1):
+            at = lines.begin[: lines.alive[t + 1]] + t
+            ahead = score[at + 1] + backward[at + 1]
+            backward[at] = np.stack([np.logaddexp(transition[s, 0] + ahead[:, 0], transition[s, 1] + ahead[:, 1]) for s in (0, 1)], axis=1)
+        return score, forward, backward, np.logaddexp(*(forward + backward).T)
+
+    def fitted(self, flags: np.ndarray, lines: Sequences, label: np.ndarray, chain: bool, steps: int = 60) -> Field:
+        """Gradient ascent from these weights to the lines' labels; without `chain` transitions stay as they are."""
+        emission, transition = self.emission.copy(), self.transition.copy()
         gold = np.zeros((len(flags), 2))
-        gold[np.arange(len(flags)), label[of]] = 1
-        line_weight = (weight / length)[of]
+        gold[np.arange(len(flags)), label] = 1
+        inner = np.ones(len(flags), bool)
+        inner[lines.begin] = False
+        at = np.flatnonzero(inner)
         speed_e, speed_t = np.zeros_like(emission), np.zeros_like(transition)
         for _ in range(steps):
-            score = flags @ emission
-            forward, backward = np.empty_like(score), np.zeros_like(score)
-            for t, n in enumerate(alive):
-                at = begin[:n] + t
-                forward[at] = score[at] if t == 0 else score[at] + np.logaddexp(forward[at - 1, 0, None] + transition[0], forward[at - 1, 1, None] + transition[1])
-            for t in range(len(alive) - 2, -1, -1):
-                at = begin[: alive[t + 1]] + t
-                ahead = score[at + 1] + backward[at + 1]
-                backward[at] = np.stack([np.logaddexp(transition[s, 0] + ahead[:, 0], transition[s, 1] + ahead[:, 1]) for s in (0, 1)], axis=1)
-            total = np.logaddexp(*(forward + backward).T)
+            score, forward, backward, total = Field(emission, transition).beliefs(flags, lines)
             belief = np.exp(forward + backward - total[:, None])
-            step_e = flags.T @ ((gold - belief) * line_weight[:, None]) / weight.sum() - 1e-3 * emission
-            inner = np.ones(len(flags), bool)
-            inner[begin] = False
-            at = np.flatnonzero(inner)
-            step_t = np.empty((2, 2))
-            for a in (0, 1):
-                for b in (0, 1):
-                    pair = np.exp(forward[at - 1, a] + transition[a, b] + score[at, b] + backward[at, b] - total[at])
-                    step_t[a, b] = ((gold[at - 1, a] * gold[at, b] - pair) * line_weight[at]).sum() / weight.sum()
-            step_t -= 1e-2 * transition
-            speed_e, speed_t = 0.9 * speed_e + step_e, 0.9 * speed_t + step_t
-            emission, transition = emission + 0.5 * speed_e, transition + 0.5 * speed_t
-        return cls(emission, transition)
+            step_e = flags.T @ ((gold - belief) * lines.weight[:, None]) - 1e-3 * emission
+            speed_e = 0.9 * speed_e + step_e
+            if chain:
+                step_t = np.empty((2, 2))
+                for a in (0, 1):
+                    for b in (0, 1):
+                        pair = np.exp(forward[at - 1, a] + transition[a, b] + score[at, b] + backward[at, b] - total[at])
+                        step_t[a, b] = ((gold[at - 1, a] * gold[at, b] - pair) * lines.weight[at]).sum()
+                speed_t = 0.9 * speed_t + step_t - 1e-2 * transition
+                transition = transition + 0.5 * speed_t
+            emission = emission + 0.5 * speed_e
+        return Field(emission, transition)
 
     def decode(self, flags: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Viterbi: 1 for content, for the lines of each text (first: where each text's lines begin, and the end)."""
@@ -163,47 +210,53 @@ def _judge(field: Field, least: float, whole_rows: bool):
             if whole_rows:
                 yield part.filter(pa.array(kept))
                 continue
-            columns = [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words)), pa.array(failed), pa.array(kept), pa.array(share)]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COLUMNS.split(", ")])
+            out = [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words)), pa.array(failed), pa.array(kept), pa.array(share)]
+            yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in COLUMNS.split(", ")])
 
     return run
 
 
+FLAGGED = "doc_id long, quality int, lines long, flags binary, sizes binary"
+
+
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's lines as packed flags: what fitting needs of a text."""
+    """Each document's lines as packed flags, and their bytes: what fitting needs of a text."""
     for part, texts in tk.slices(batches):
         p = profile(texts)
         flags = line_flags(p).astype(np.uint8)
+        size = (p.lines.hi - p.lines.lo).astype("<u4")
         first = np.searchsorted(p.lines.text, np.arange(texts.n + 1))
-        packed = [np.packbits(flags[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(np.diff(first), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "quality", "lines", "flags"])
+        spans = list(zip(first[:-1], first[1:], strict=True))
+        out = [part.column("doc_id"), part.column("quality"), pa.array(np.diff(first), pa.int64()), *(pa.array([f(lo, hi) for lo, hi in spans], pa.binary()) for f in (lambda lo, hi: np.packbits(flags[lo:hi]).tobytes(), lambda lo, hi: size[lo:hi].tobytes()))]  # noqa: B023
+        yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in FLAGGED.split(", ")])
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
+def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = CONTENT_SHARE) -> Field:
     """The field for `labels`(doc_id, quality): a bounded sample, see the module's text."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    known = columns(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample) for q in (0, 1)]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most two times `sample` rows of two numbers: a proven bound.
-    rows = plain.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInArrow(_flagged, "doc_id long, quality int, lines long, flags binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("flags", "ascending")])
-    length, label = rows["lines"].to_numpy(), rows["quality"].to_numpy().astype(np.int64)
-    if len(set(label[length > 0].tolist())) < 2:
+    # At most two times `sample` rows of two numbers are broadcast, and as many come back: one row for each doc_id.
+    rows = plain.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInArrow(_flagged, FLAGGED)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lines", "flags", "sizes", "quality")).alias("one")).select("doc_id", "one.*").toArrow().sort_by("doc_id")
+    rows = rows.filter(pa.compute.greater(rows["lines"], 0))
+    length, quality = rows["lines"].to_numpy(), rows["quality"].to_numpy().astype(np.int64)
+    if len(set(quality.tolist())) < 2:
         return Field.neutral()
     flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n * N_FLAGS).reshape(n, N_FLAGS) for x, n in zip(rows["flags"], length.tolist(), strict=True)]).astype(float)
-    length, label = length[length > 0], label[length > 0]
-    weight = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum())
-    return Field.fitted(flags, length, label, weight)
+    size = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows["sizes"]]).astype(float)
+    return learn(flags, length, size, quality, least)
 
 
 def judge(docs: DataFrame, labels: DataFrame, least: float = CONTENT_SHARE) -> DataFrame:
     """docs(doc_id, text, ...) -> COLUMNS."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_judge(fit_field(plain, labels), least, False), COLUMNS)
+    plain = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(_judge(fit_field(plain, labels, least=least), least, False), COLUMNS)
 
 
 def retained(docs: DataFrame, labels: DataFrame, least: float = CONTENT_SHARE) -> DataFrame:
     """The rows of docs, all columns, that the rules keep."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_judge(fit_field(docs, labels), least, True), docs.schema)
+    plain = columns(docs, "doc_id", "text")
+    return plain.mapInArrow(_judge(fit_field(plain, labels, least=least), least, True), plain.schema).toDF(*docs.columns)

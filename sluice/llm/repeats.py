@@ -47,15 +47,6 @@ def _expand(blob: bytes) -> bytes:
     return pa.Codec(_CODEC).decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
-def eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes at each position as one number; past the end there are zeros."""
-    x = np.zeros(len(data) + 8, U)
-    x[: len(data)] = data
-    for shift in (1, 2, 4):
-        x[:-shift] |= x[shift:] << U(8 * shift)
-    return x[: len(data)]
-
-
 def paired(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     """Names for pairs of names: random odd multiples, added."""
     odd = tk.stream(2, seed) | U(1)
@@ -69,7 +60,7 @@ def elect(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     n = len(data)
     if n < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, np.int64))
-    words = eights(data)[: n - 7]
+    words = tk.eights(data)[: n - 7]
     hashes = paired(words[:-8], words[8:], 7)
     hashes ^= hashes >> U(32)
     hashes *= U(0xBF58476D1CE4E5B9)
@@ -238,7 +229,7 @@ def _reranked(length: int):
         block, ordinal, docs, windows, sizes = (x[keep] for x in (block, ordinal, docs, windows, sizes))
         begin = np.cumsum(sizes) - sizes
         # doubling: 8, 16, 32 and at last `length` bytes
-        words = tk.mix(eights(data))
+        words = tk.mix(tk.eights(data))
         spots = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
         names = []
         for seed in (101, 202):

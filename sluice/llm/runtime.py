@@ -82,6 +82,12 @@ class Scratch:
             _delete(self._jvm, self._conf, table._sluice_path)
 
 
+def columns(table: DataFrame, *names: str) -> DataFrame:
+    """table with all but these columns named by position: no other name, dotted, repeated or alike but for case, can clash."""
+    at = {table.columns.index(name): name for name in names}
+    return table.toDF(*(at.get(i, f"_{i}") for i in range(len(table.columns))))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and bytes of a text column."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()

@@ -10,7 +10,9 @@ at a time, until one remains.  No step holds more than BLOCK groups, and the dri
 shard) takes the row, so one more shard takes rows only into itself; `grown_shard` says where they go then.
 
 Defined results: null text has no bytes (size 8) and is the empty text's group; a group larger than its fair share
-has a shard nearly to itself, and the others stay even; repeated rows are kept; an empty table gives an empty result.
+has a shard nearly to itself, and the others stay even; repeated rows are kept; between partial partitions of equal
+spread the earlier is taken first; very long texts only weigh more; other columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import Scratch, parts
+from sluice.llm.runtime import Scratch, columns, parts
 
 BLOCK, FAN, SLOT_ROWS = 50_000, 1_000, 20_000
 LAWS = ("bytes", "rows", "key")
@@ -106,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 24, law: str = "bytes") -> DataFrame:
         raise ValueError(f"law is one of {LAWS}")
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+    rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_key"))
     if law == "bytes":
         rows = scratch.keep(rows)
         to = _groups_to_shards(rows.groupBy("text_key").agg(F.sum("size").alias("weight")), shards, scratch)

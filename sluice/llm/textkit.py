@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -33,7 +34,8 @@ def stream(n: int, seed: int) -> np.ndarray:
 BYTE_CODES = stream(256, 71) | U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_CODES = BYTE_CODES[LOWER]
+#: Bytes of a word that are hashed by columns; longer words are hashed one by one.
+WORD_BYTES = 64
 
 
 @lru_cache(maxsize=2)
@@ -109,14 +111,40 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, off)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as one number; past the end there are zeros."""
+    x = np.zeros(len(data) + 8, U)
+    x[: len(data)] = data
+    for shift in (1, 2, 4):
+        x[:-shift] |= x[shift:] << U(8 * shift)
+    return x[: len(data)]
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes: its length, then eight bytes after eight, each mixed before the next is added."""
+    size = ends - starts
+    out = mix(size.astype(U) + U(MULTIPLIER))
+    words = eights(data)
+    at = np.flatnonzero((size > 0) & (size <= WORD_BYTES))
+    k = 0
+    while len(at):
+        left = size[at] - k
+        chunk = words[starts[at] + k]
+        short = left < 8
+        chunk[short] &= (U(1) << (left[short].astype(U) * U(8))) - U(1)
+        out[at] = mix((out[at] ^ chunk) * U(MULTIPLIER) + U(k + 1))
+        k += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > WORD_BYTES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def word_hashes(texts: Texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between white space (space and 09 to 0D): their hashes, starts, ends, and where each text's words begin."""
     data = texts.data
     starts, ends, first = spans(~is_space(data), texts.off)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((LOWER_CODES if lower else BYTE_CODES)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends, first
+    return string_hashes(LOWER[data] if lower else data, starts, ends), starts, ends, first
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -124,9 +152,8 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = max(len(hashes) - k + 1, 0)
     acc = hashes[:n].copy()
     for t in range(1, k):
-        acc *= U(MULTIPLIER)
-        acc += hashes[t : t + n]
-    return mix(acc)
+        acc = mix(acc * U(MULTIPLIER) + hashes[t : t + n])
+    return acc
 
 
 def shingle_sets(texts: Texts, k: int) -> Iterator[np.ndarray]:

@@ -6,7 +6,9 @@ tokenizer: candidates for a place are tried from the earliest start on, and a la
 better.  A character that is no piece costs the lowest score less 10 and falls back to one token for each byte.
 
 Pieces never reach over a word's mark (U+2581), so a text's count is the sum over its words, and words seen lately
-keep their counts.  Defined results: null and empty texts have no tokens; repeated rows are counted each.
+keep their counts.  Defined results: null and empty texts have no tokens; repeated rows are counted each; of paths of
+equal score the one found first stands; very long texts are counted word after word; other columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
-from sluice.llm.runtime import small_batches
+from sluice.llm.runtime import columns, small_batches
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words of each of the two generations whose counts a worker keeps, and the longest of them.
@@ -120,8 +122,8 @@ def _counted(name: str):
         counter = _counter(name)
         for part, texts in tk.slices(batches):
             rows = [counter.text(texts.raw(i).decode("utf-8", "replace")) for i in range(texts.n)]
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.float64())], [x.split()[0] for x in COLUMNS.split(", ")])
+            found = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in found[:3]), pa.array(found[3], pa.float64())], [x.split()[0] for x in COLUMNS.split(", ")])
 
     return run
 
@@ -129,4 +131,4 @@ def _counted(name: str):
 def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k") -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_words, n_tokens, n_fallback, score."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_counted(name), COLUMNS)
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_counted(name), COLUMNS)

@@ -2,9 +2,11 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sluice.llm import gam, quality_rules
+from sluice.llm import textkit as tk
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.01"
@@ -48,6 +50,87 @@ def test_viterbi_is_the_best_labelling():
         assert value(tuple(field.decode(flags, np.array([0, n])))) == value(best)
 
 
+def test_lines_have_labels_of_their_own(spark):
+    """Plain sentences and junk lines of one text are told apart, whatever its document's kind; the verdict follows from the share."""
+    docs, labels = tables(spark)
+    field = quality_rules.fit_field(docs, labels)
+    plain = "The anes ly erer thtibleti annd, therheth ates of inheth a edti and onwh there ther onnte."
+    junk = "THE!! AND!! EN!! ANDTH!! ERON!! OUHE!! THHEIN!!"
+    for lines, want in (([plain, plain + " x", plain + " y", junk, junk + " EA!!"], [1, 1, 1, 0, 0]), ([junk, junk + " A!!", junk + " B!!", plain, plain + " z"], [0, 0, 0, 1, 1])):
+        p = quality_rules.profile(tk.Texts(pa.array(["\n".join(lines)])))
+        assert field.decode(quality_rules.line_flags(p), np.array([0, 5])).tolist() == want
+    shares = [r.content_share for r in quality_rules.judge(docs, labels).filter("not base_failed").collect()]
+    assert sum(0 < s < 1 for s in shares) > 0.05 * len(shares)
+
+
+def test_verdict_against_plain_viterbi(spark):
+    docs, labels = tables(spark)
+    field = quality_rules.fit_field(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.filter("length(text) < 1500").collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(docs.filter("length(text) < 1500"), labels).collect()}
+    field_of_part = quality_rules.fit_field(docs.filter("length(text) < 1500"), labels)
+    assert field_of_part.emission.shape == field.emission.shape
+    for i, text in texts.items():
+        lines = [x for x in text.split("\n") if brute.SPACE.search(x)]
+        if not 0 < len(lines) <= 9:
+            continue
+        flags = quality_rules.line_flags(quality_rules.profile(tk.Texts(pa.array([text]))))
+        score = flags @ field_of_part.emission
+        value = lambda s: sum(score[k, x] for k, x in enumerate(s)) + sum(field_of_part.transition[a, b] for a, b in itertools.pairwise(s))  # noqa: B023, E731
+        best = max(itertools.product((0, 1), repeat=len(lines)), key=value)
+        size = [len(x.encode()) for x in lines]
+        share = sum(n for n, x in zip(size, best, strict=True) if x) / sum(size)
+        assert abs(got[i].content_share - share) < 1e-9 and got[i].kept == (not got[i].base_failed and share >= quality_rules.CONTENT_SHARE)
+
+
+def test_labels_agree_with_the_document():
+    rng = np.random.default_rng(5)
+    length, quality = rng.integers(1, 9, 40), rng.integers(0, 2, 40)
+    lines = quality_rules.Sequences(length, np.ones(40))
+    margin, size = rng.normal(size=length.sum()), rng.integers(1, 50, length.sum()).astype(float)
+    label = quality_rules.agreeing(margin, size, lines, quality, 0.3)
+    for d in range(40):
+        own = slice(lines.first[d], lines.first[d + 1])
+        free = (margin[own] >= 0).astype(int)
+        share = lambda x: (size[own] * x).sum() / size[own].sum()  # noqa: B023, E731
+        assert (share(label[own]) >= 0.3) == bool(quality[d])
+        assert (share(free) >= 0.3) != bool(quality[d]) or (free == label[own]).all()
+
+
+def thue_morse(n):
+    line = "a"
+    while len(line) < n:
+        line += line.translate(str.maketrans("ab", "ba"))
+    return line, line.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_and_words_that_collide_modulo_powers_of_two(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for n in (64, 1024, 4096):
+        a, b = thue_morse(n)
+        docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}"), (3, " ".join([a, b] * 8))], SCHEMA)
+        got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
+        assert [got[i].n_dup_lines for i in (1, 2)] == [0, 1] and got[3].n_repeat_words == 16
+        assert len(set(tk.word_hashes(tk.Texts(pa.array([a, b])))[0].tolist())) == 2
+
+
+def test_string_hashes_follow_the_bytes_alone():
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abé日"), rng.integers(1, 90))) for _ in range(3000)]
+    one = tk.word_hashes(tk.Texts(pa.array([" ".join(words)])))[0]
+    each = np.concatenate([tk.word_hashes(tk.Texts(pa.array([f"xx {w}"])))[0][1:] for w in words])
+    assert (one == each).all() and len(set(one.tolist())) == len(set(words))
+
+
+def test_shared_doc_ids_and_clashing_columns(spark):
+    docs, labels = tables(spark)
+    twice = docs.unionByName(docs).withColumn("sizes", F.lit("s")).withColumn("X", F.lit(1)).withColumn("a.b", F.lit(2))
+    both = labels.unionByName(labels).withColumn("flags", F.lit("f"))
+    assert np.allclose(quality_rules.fit_field(docs, labels).emission, quality_rules.fit_field(twice, both).emission)
+    assert quality_rules.retained(twice, both).columns == twice.columns
+    assert gam.classify(twice, both).count() == twice.count()
+
+
 def test_retained_keeps_all_columns(spark):
     docs, labels = tables(spark)
     kept = {r.doc_id for r in quality_rules.judge(docs, labels).filter("kept").collect()}
