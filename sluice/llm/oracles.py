@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sluice.llm.decontaminate import EQUAL, MASKS, SPAN, WINDOW
-from sluice.llm.licenses import COVERAGE, DENSITY, NEIGHBOUR, PHRASES, TEMPLATES, K
+from sluice.llm.licenses import BARS, COVERAGE, DENSITY, MARKS, NEEDS, NEIGHBOUR, PHRASES, TEMPLATES, WHOLE, K
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
@@ -42,22 +42,41 @@ select doc_id, item_id, cast(diagonal + lo as bigint) as doc_start, cast(lo as b
 
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(TEMPLATES))
 _GRAM = "array_to_string(ws[{at} + 1:{at} + " + str(K) + "], ' ')"
-_BASE = " union all ".join(
-    f"select doc_id, i, '{label}' as label from places where array_to_string(ws[i + 1:i + {len(phrase.split())}], ' ') = '{phrase}'" for phrase, label in PHRASES.items()
-)
+#: The words from a place on, one column for each number of words that a phrase has.
+_LENGTHS = sorted({len(p.split()) for p in (*PHRASES, *MARKS)})
+_AHEAD = ", ".join(f"array_to_string(ws[i + 1:i + {n}], ' ') as p{n}" for n in _LENGTHS)
+
+
+def _spoken(phrases: dict[str, str], name: str) -> str:
+    rows = {n: ", ".join(f"('{p}', '{x}')" for p, x in phrases.items() if len(p.split()) == n) for n in _LENGTHS}
+    return " union all ".join(f"select doc_id, i, {name} from places join (values {v}) t(phrase, {name}) on phrase = p{n}" for n, v in rows.items() if v)
+
+
+_RULES = ", ".join(f"('{label}', {NEEDS.get(label, [])!r}::varchar[], {BARS.get(label, [])!r}::varchar[])" for label in sorted({label for label, _ in TEMPLATES}))
 
 OP5 = f"""with docs as (select doc_id, {_ALNUM} as ws from documents),
-places as (select doc_id, ws, unnest(range(0, len(ws))) as i from docs),
-base as ({_BASE}),
+spots as (select doc_id, ws, unnest(range(0, len(ws))) as i from docs),
+places as materialized (select doc_id, i, case when i + {K} <= len(ws) then {_GRAM.format(at='i')} end as g, {_AHEAD} from spots),
+base as ({_spoken(PHRASES, "label")}),
+marks as materialized ({_spoken(MARKS, "mark")}),
 summary as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_distinct(list(label)) as base_set from base group by doc_id),
 templates as (select id, label, {_ALNUM} as ws from (values {_TEMPLATES}) t(id, label, text)),
-template_places as (select id, label, len(ws) - {K - 1} as grams, ws, unnest(range(0, len(ws) - {K - 1})) as p from templates),
-votes as (select doc_id, id, label, grams, i - p as diagonal, count(*) as votes, min(i) as lo, max(i) as hi
-  from (select doc_id, i, {_GRAM.format(at='i')} as g from places where i + {K} <= len(ws)) d join (select id, label, grams, p, {_GRAM.format(at='p')} as g from template_places) t using (g) group by all),
-fresh as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, id order by diagonal) <= {NEIGHBOUR} then 0 else 1 end as new from votes),
-runs as (select *, sum(new) over (partition by doc_id, id order by diagonal rows unbounded preceding) as run from fresh),
-merged as (select doc_id, label, least(1.0::double, sum(votes)::double / grams) as coverage, sum(votes) as votes, max(hi) - min(lo) + 1 as span from runs group by doc_id, id, label, grams, run),
-found as (select doc_id, list_distinct(list(label)) as own_set, max(coverage) as coverage from merged where coverage >= {COVERAGE} and votes >= {DENSITY} * span group by doc_id)
+rules as (select * from (values {_RULES}) t(label, needs, bars)),
+template_places as (select id, label, len(ws) as size, ws, unnest(range(0, len(ws) - {K - 1})) as p from templates),
+votes as (select doc_id, id, label, size, i, p, i - p as diagonal
+  from places d join (select id, label, size, p, {_GRAM.format(at='p')} as g from template_places) t using (g)),
+fresh as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, id order by diagonal, i) <= {NEIGHBOUR} then 0 else 1 end as new from votes),
+runs as (select *, sum(new) over (partition by doc_id, id order by diagonal, i rows unbounded preceding) as run from fresh),
+merged as (select doc_id, id, label, size, run, len(list_distinct(flatten(list_transform(list(p), lambda x: range(x, x + {K}))))) as matched,
+  len(list_distinct(flatten(list_transform(list(i), lambda x: range(x, x + {K}))))) as agreeing, min(i) as lo, max(i) + {K} as hi, min(diagonal) as start, max(diagonal) + size as stop from runs group by doc_id, id, label, size, run),
+verified as (select * from merged where 100 * matched >= {COVERAGE} * size and matched >= least(size, {WHOLE}) and 100 * agreeing >= {DENSITY} * (hi - lo)),
+told as (select v.* from verified v join rules using (label)
+  where len(needs) = (select count(distinct m.mark) from marks m where m.doc_id = v.doc_id and list_contains(needs, m.mark) and m.i >= lo and m.i < hi)
+  and not exists (select 1 from marks m where m.doc_id = v.doc_id and list_contains(bars, m.mark) and m.i >= least(lo, start) and m.i < greatest(hi, stop))),
+own as (select distinct r.doc_id, r.id, r.run, r.i, t.label, t.matched, t.matched::double / t.size as coverage from runs r join told t on r.doc_id = t.doc_id and r.id = t.id and r.run = t.run),
+ranked as (select *, row_number() over (partition by doc_id, i order by matched desc, coverage desc, id, run desc) as place from own),
+stands as (select doc_id, id, run, label, max(coverage) as coverage from ranked group by doc_id, id, run, label having 2 * count(*) filter (where place = 1) >= count(*)),
+found as (select doc_id, list_distinct(list(label)) as own_set, max(coverage) as coverage from stands group by doc_id)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, array_to_string(list_sort(coalesce(base_set, [])), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(own_set, [])))), ',') as labels,
   greatest(coalesce(coverage, 0.0::double), case when n_base > 0 then 0.5::double else 0.0::double end) as score

@@ -83,8 +83,12 @@ class Scratch:
 
 
 def columns(table: DataFrame, *names: str) -> DataFrame:
-    """table with all but these columns named by position: no other name, dotted, repeated or alike but for case, can clash."""
-    at = {table.columns.index(name): name for name in names}
+    """table with all but these columns named by position: no other name, dotted, repeated or alike but for case, can clash.
+
+    A column is found by its exact name, or else without case, as Spark finds it.
+    """
+    plain = [c.lower() for c in table.columns]
+    at = {(table.columns.index(name) if name in table.columns else plain.index(name)): name for name in names}
     return table.toDF(*(at.get(i, f"_{i}") for i in range(len(table.columns))))
 
 

@@ -44,15 +44,23 @@ def test_license_near_variants(spark):
     cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
     gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     cases = [
-        (cc.format(""), "cc-by"), (cc.format("-NonCommercial"), "cc-by-nc"), (cc.format("-ShareAlike"), "cc-by-sa"), (cc.format("-NoDerivatives"), ""), (cc.format("-Non-Commercial"), "cc-by-nc"),
-        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc,cc-by-sa"), (cc.format("-NonCommercial-NoDerivatives"), ""), (cc.format("-No-Derivs"), ""),
+        (cc.format(""), "cc-by"), (cc.format("-NonCommercial"), "cc-by-nc"), (cc.format("-ShareAlike"), "cc-by-sa"), (cc.format("-NoDerivatives"), "cc-by-nd"), (cc.format("-Non-Commercial"), "cc-by-nc"),
+        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), (cc.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd"), (cc.format("-No-Derivs"), "cc-by-nd"),
         (f"{cc.format('')} NonCommercial uses and {cc.format('')}", "cc-by"), (f"{cc.format('')} {cc.format('-ShareAlike')}", "cc-by,cc-by-sa"),
-        (gnu.format(""), "gpl"), (gnu.format("Lesser "), ""), (gnu.format("Affero "), ""), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), ("Licensed under CC BY-NC-ND 4.0.", "cc-by"),
+        (gnu.format(""), "gpl"), (gnu.format("Lesser "), "lgpl"), (gnu.format("Affero "), "agpl"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), ("Licensed under CC BY-NC-ND 4.0.", "cc-by,cc-by-nc-nd"),
+        ("It is not licensed under the GNU licence but was released under the MIT", ""), ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl"),
+        (f"{gnu.format('')} {gnu.format('Lesser ')} {cc.format('')}", "cc-by,gpl,lgpl"), (cc.format("") + " licensed under a creative commons" * 9, "cc-by"),
     ]
     got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], SCHEMA)).collect()
     assert [r.labels for r in sorted(got)] == [want for _, want in cases]
 
 
+def test_licenses_of_an_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+    odd = spark.createDataFrame([(1, "the MIT license " * 40_000)], SCHEMA).select("*", F.lit("x").alias("TEXT"), F.lit(1).alias("a.b"))
+    assert [(r.n_base, r.labels) for r in licenses.scan(odd).collect()] == [(40_000, "mit")]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
