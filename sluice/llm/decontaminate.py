@@ -1,19 +1,26 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
 A mask selects some of `SPAN` consecutive word places and ignores the rest, so a seed still matches where words at
-ignored places were substituted.  The seeds of every place of every document are joined with the benchmark's; a hit
-fixes a diagonal (document place - item place), along which the item is laid over the document.  A hit stands if
-`EQUAL` of some `WINDOW` places around it (or of the whole shorter item) agree, and the overlap is then grown to all of
-the item that the document holds.
+ignored places were substituted.  The seeds of every place of every text are joined with the benchmark's: what is
+shuffled or joined there is (text, place, seed), never the words.  A hit fixes a diagonal (text place - item place), and
+each diagonal of a text and an item goes on once.  Only texts with hits are read again; along each diagonal the item is
+laid over the text, and the overlap stands if `EQUAL` of some `WINDOW` consecutive places of the item agree (of a
+shorter item, that share of all its places).  It is then grown to all of the item that the text holds.
 
-The benchmark's seeds are broadcast only after their number has been counted and found below `BROADCAST_SEEDS`; beyond
-that the join is left to the planner.  Hits are verified where they arise, with the document's words at hand, so only
-verified spans are shuffled, by document.
+Items of fewer than `SHORT` words have few places for a seed, so they are looked for by `SHORT_MASKS` too, of which one
+ignores any given place: none with a single substitution is missed.
+
+Texts are told apart by doc_id and two hashes of the text, 128 bits.  The benchmark's seeds are broadcast only after
+their number has been counted and found below `BROADCAST_SEEDS`, and so are the diagonals (`BROADCAST_HITS`); beyond
+that the joins are the planner's.  Hits are first joined on the seed alone, whatever number of texts share it, and are
+spread by text after that.
 
 Defined results: null texts and texts shorter than a seed overlap nothing, and so do such items; equal items are each
-reported; repeated documents are reported once for each doc_id; an empty table on either side gives no rows.
-`without_overlaps` does not rest on doc_id: each row is judged by its own text, under a number written for it, so a
-null doc_id is judged like any other, and of rows that share a doc_id only those that overlap an item go.
+reported; of an item's diagonals in a text that agree alike the smallest is reported; repeated documents are reported
+once for each doc_id, the one that agrees best; very long texts take time in proportion; other columns, whatever their
+names, are ignored; an empty table on either side gives no rows.  `without_overlaps` does not rest on doc_id: each row
+is judged by its own text, so a null doc_id is judged like any other, and of rows that share a doc_id only those that
+overlap an item go; it returns all columns.
 """
 
 from __future__ import annotations
@@ -21,46 +28,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.runtime import Scratch
+from sluice.llm.runtime import Scratch, columns
 from sluice.llm.words import alnum_words, spots, word
 
 MASKS = ("111010011", "110010111", "101101101")
-SPAN = 9
+SHORT_MASKS = ("000111111", "111000111", "111111000")
+SPAN, SHORT = 9, 13
 WINDOW, EQUAL = 13, 11
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS, BROADCAST_HITS = 1_000_000, 200_000
+#: The columns that tell texts apart.
+TEXT = ["text_a", "text_b"]
 
 
-def _seeds(words: str, at: Column) -> Column:
-    """The seeds at a place, one for each mask; the mask's number is hashed too."""
-    return F.array(*[F.xxhash64(F.lit(m), *[word(words, at + j) for j, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)])
+def _keyed(docs: DataFrame, *others: Column) -> DataFrame:
+    """docs(text) -> TEXT, text and the others."""
+    return docs.select(F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"), F.col("text").cast("string").alias("text"), *others)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, doc_start, item_start, length, n_equal: in words, one row for each item a document overlaps."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), alnum_words(F.col("text")).alias("item"))
-    seeds = items.select("item_id", "item", spots("item", 0, SPAN - 1).alias("p")).select("item_id", "p", F.explode(_seeds("item", F.col("p"))).alias("seed"))
-    size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("items")).first()
-    small = size["n"] * len(MASKS) <= BROADCAST_SEEDS
-    hint = F.broadcast if small else (lambda df: df)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), alnum_words(F.col("text")).alias("words"))
-    at = rows.select("doc_id", "words", spots("words", 0, SPAN - 1).alias("i"))
-    hits = at.select("doc_id", "words", "i", F.explode(_seeds("words", F.col("i"))).alias("seed")).join(hint(seeds), "seed").join(hint(items), "item_id")
-
-    diagonal = F.col("i") - F.col("p")
-    agree = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.coalesce(F.get("words", F.col("diagonal") + j) == F.get("item", j), F.lit(False)).cast("int"))
-    laid = hits.select("doc_id", "item_id", "words", "item", "p", diagonal.alias("diagonal")).select("doc_id", "item_id", "p", "diagonal", agree.alias("agree"))
+def _seeded(rows: DataFrame, keys: list[str], place: str, masks: tuple[str, ...]) -> DataFrame:
+    """rows(keys, words) -> keys, place, seed: at every place one for each mask, from word hashes; the mask is hashed too."""
+    at = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).select(*keys, "hashes", spots("hashes", 0, SPAN - 1).alias(place))
+    seed = lambda mask: F.xxhash64(F.lit(int(mask, 2)), *[word("hashes", F.col(place) + j) for j, bit in enumerate(mask) if bit == "1"])
+    return at.select(*keys, place, F.explode(F.array(*map(seed, masks))).alias("seed"))
+
+
+def _standing(texts: DataFrame, benchmark: DataFrame, carried: list[str]) -> DataFrame:
+    """texts(TEXT, text, carried) -> TEXT, carried, item_id, diagonal, lo, hi, n_equal: every overlap that stands."""
+    scratch = Scratch(texts.sparkSession)
+    items = columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), alnum_words(F.col("text")).alias("words")).filter(F.size("words") >= SPAN)
+    brief = items.filter(F.size("words") < SHORT)
+    masks = MASKS if brief.isEmpty() else MASKS + SHORT_MASKS
+    seeds = scratch.keep(_seeded(items, ["item_id"], "p", MASKS).unionByName(_seeded(brief, ["item_id"], "p", SHORT_MASKS)))
+    small = seeds.count() <= BROADCAST_SEEDS
+
+    hits = _seeded(texts.select(*TEXT, alnum_words(F.col("text")).alias("words")), TEXT, "i", masks).join(F.broadcast(seeds) if small else seeds, "seed")
+    diagonals = scratch.keep(hits.select(*TEXT, "item_id", (F.col("i") - F.col("p")).alias("diagonal")).distinct())
+    few = diagonals.count() <= BROADCAST_HITS
+    laid = texts.join(F.broadcast(diagonals) if few else diagonals, TEXT).join(items.withColumnRenamed("words", "item"), "item_id")
+    laid = laid.select(*TEXT, *carried, "item_id", "diagonal", "item", alnum_words(F.col("text")).alias("words"))
+    ahead = F.greatest(-F.col("diagonal"), F.lit(0))  # places of the item before the text's first word
+    under = F.concat(F.array_repeat(F.lit(None).cast("string"), ahead), F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.size("item") - ahead, F.lit(0))))
+    agree = F.zip_with("item", under, lambda w, own: F.coalesce(own == w, F.lit(False)).cast("int"))
+    # explode() of one array keeps it from being worked out again for each window.
+    laid = laid.select(*TEXT, *carried, "item_id", "diagonal", F.explode(F.array(agree)).alias("agree"))
     width = F.least(F.lit(WINDOW), F.size("agree"))
-    starts = F.sequence(F.greatest(F.lit(0), F.least(F.col("p"), F.size("agree") - width) - (WINDOW - SPAN)), F.least(F.col("p"), F.size("agree") - width))
-    best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("agree", s + 1, width), F.lit(0), lambda a, b: a + b)))
-    needed = F.ceil(width * EQUAL / WINDOW)
-    first = F.array_position("agree", 1) - 1
-    last = F.size("agree") - F.array_position(F.reverse("agree"), 1)
-    verified = laid.filter(best >= needed).select(
-        "doc_id", "item_id", "diagonal", first.alias("lo"), last.alias("hi"), F.aggregate("agree", F.lit(0), lambda a, b: a + b).cast("long").alias("n_equal")
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("agree") - width), lambda s: F.aggregate(F.slice("agree", s + 1, width), F.lit(0), lambda a, b: a + b)))
+    first, last = F.array_position("agree", 1) - 1, F.size("agree") - F.array_position(F.reverse("agree"), 1)
+    return laid.filter(best >= F.ceil(width * EQUAL / WINDOW)).select(
+        *TEXT, *carried, "item_id", "diagonal", first.alias("lo"), last.alias("hi"), F.aggregate("agree", F.lit(0), lambda a, b: a + b).cast("long").alias("n_equal")
     )
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, doc_start, item_start, length, n_equal: in words, one row for each item a document overlaps."""
+    texts = _keyed(columns(docs, "doc_id", "text"), F.col("doc_id").cast("long").alias("doc_id"))
     return (
-        verified.groupBy("doc_id", "item_id")
+        _standing(texts, benchmark, ["doc_id"])
+        .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("n_equal", (-F.col("diagonal")).alias("order"), "diagonal", "lo", "hi")).alias("b"))
         .select("doc_id", "item_id", (F.col("b.diagonal") + F.col("b.lo")).cast("long").alias("doc_start"), F.col("b.lo").cast("long").alias("item_start"), (F.col("b.hi") - F.col("b.lo") + 1).cast("long").alias("length"), F.col("b.n_equal").alias("n_equal"))
     )
@@ -68,7 +92,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that overlap no benchmark item, each judged by its own text."""
-    row = "_row"
-    rows = Scratch(docs.sparkSession).numbered(docs, row)
-    found = overlaps(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct()
-    return rows.join(found, row, "left_anti").select(docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    plain = columns(docs, "text")
+    found = scratch.keep(_standing(_keyed(plain), benchmark, []).select(TEXT).distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
+    keys = [F.xxhash64("text").alias(TEXT[0]), F.xxhash64(F.lit(1), "text").alias(TEXT[1])]
+    return plain.select("*", *keys).join(found, TEXT, "left_anti").select(plain.columns).toDF(*docs.columns)

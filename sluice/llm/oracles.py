@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm.decontaminate import EQUAL, MASKS, SPAN, WINDOW
+from sluice.llm.decontaminate import EQUAL, MASKS, SHORT, SHORT_MASKS, SPAN, WINDOW
 from sluice.llm.licenses import BARS, COVERAGE, DENSITY, MARKS, NEEDS, NEIGHBOUR, PHRASES, TEMPLATES, WHOLE, K
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,19 +22,21 @@ least_ as (select x as doc_id, min(y) as component_id from reach group by x)
 select doc_id, cast(len(s) as bigint) as n_shingles, component_id, component_id = doc_id as kept,
   case when len(s) = 0 then doc_id else min(doc_id) over (partition by s) end as set_id from sets join least_ using (doc_id)"""
 
-_SEED = "[" + ", ".join(f"'{m}|' || array_to_string([{', '.join(f'{{ws}}[{{at}} + {j + 1}]' for j, bit in enumerate(mask) if bit == '1')}], ' ')" for m, mask in enumerate(MASKS)) + "]"
+def _seeds(masks: tuple[str, ...], words: str, place: str) -> str:
+    return "[" + ", ".join(f"'{m}|' || array_to_string([{', '.join(f'{words}[{place} + {j + 1}]' for j, bit in enumerate(m) if bit == '1')}], ' ')" for m in masks) + "]"
+
 
 OP4 = f"""with items as (select item_id, {_ALNUM} as item from benchmark),
 docs as (select doc_id, {_ALNUM} as words from documents),
 item_places as (select item_id, item, unnest(range(0, len(item) - {SPAN - 1})) as p from items),
-item_seeds as (select item_id, p, unnest({_SEED.format(ws='item', at='p')}) as seed from item_places),
+item_seeds as (select item_id, p, unnest({_seeds(MASKS, 'item', 'p')}) as seed from item_places union all select item_id, p, unnest({_seeds(SHORT_MASKS, 'item', 'p')}) from item_places where len(item) < {SHORT}),
 doc_places as (select doc_id, words, unnest(range(0, len(words) - {SPAN - 1})) as i from docs),
-doc_seeds as (select doc_id, i, unnest({_SEED.format(ws='words', at='i')}) as seed from doc_places),
-hits as (select distinct d.doc_id, s.item_id, i - p as diagonal, p from doc_seeds d join item_seeds s using (seed)),
+doc_seeds as (select doc_id, i, unnest({_seeds(MASKS + SHORT_MASKS, 'words', 'i')}) as seed from doc_places),
+hits as (select distinct d.doc_id, s.item_id, i - p as diagonal from doc_seeds d join item_seeds s using (seed)),
 laid as (select h.*, list_transform(range(0, len(item)), lambda j: case when diagonal + j >= 0 and diagonal + j < len(words) and words[diagonal + j + 1] = item[j + 1] then 1 else 0 end) as agree
   from hits h join docs using (doc_id) join items using (item_id)),
 wide as (select *, least({WINDOW}, len(agree)) as width from laid),
-best as (select *, list_max(list_transform(range(greatest(0, least(p, len(agree) - width) - {WINDOW - SPAN}), least(p, len(agree) - width) + 1), lambda s: list_sum(agree[s + 1:s + width]))) as top from wide),
+best as (select *, list_max(list_transform(range(0, len(agree) - width + 1), lambda s: list_sum(agree[s + 1:s + width]))) as top from wide),
 good as (select doc_id, item_id, diagonal, list_position(agree, 1) - 1 as lo, len(agree) - list_position(list_reverse(agree), 1) as hi, cast(list_sum(agree) as bigint) as n_equal
   from best where top >= ceil(width * {EQUAL} / {WINDOW})),
 one as (select *, row_number() over (partition by doc_id, item_id order by n_equal desc, diagonal) as r from good)

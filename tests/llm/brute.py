@@ -92,16 +92,20 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
 
 
-def overlapping(doc, item, masks, window, equal):
-    """Whether an item lies over a document at a seed hit as the operator asks."""
+def overlapping(doc, item, masks, short_masks, window, equal):
+    """Whether an item lies over a document along the diagonal of a seed hit as the operator asks."""
     d, t = ALNUM.findall(lower(doc)), ALNUM.findall(lower(item))
     span = len(masks[0])
+    masks = masks + short_masks if len(t) < window else masks
     for i in range(len(d) - span + 1):
         for p in range(len(t) - span + 1):
-            if any(all(d[i + j] == t[p + j] for j, bit in enumerate(m) if bit == "1") for m in masks):
-                agree = [0 <= i - p + j < len(d) and d[i - p + j] == t[j] for j in range(len(t))]
-                width = min(window, len(t))
-                top = min(p, len(t) - width)
-                if any(sum(agree[s : s + width]) >= -(-width * equal // window) for s in range(max(0, top - (window - span)), top + 1)):
-                    return True
+            if any(all(d[i + j] == t[p + j] for j, bit in enumerate(m) if bit == "1") for m in masks) and agrees(d, t, i - p, window, equal):
+                return True
     return False
+
+
+def agrees(d, t, diagonal, window, equal):
+    """Whether `equal` of some `window` places of t agree with d along the diagonal."""
+    agree = [0 <= diagonal + j < len(d) and d[diagonal + j] == t[j] for j in range(len(t))]
+    width = min(window, len(t))
+    return any(sum(agree[s : s + width]) >= -(-width * equal // window) for s in range(len(t) - width + 1))

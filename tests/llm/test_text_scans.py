@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -76,7 +77,7 @@ def test_decontamination(spark):
             body[at:at] = item
         docs.append((i, " ".join(body).upper() if i % 3 else ", ".join(body)))
     docs += [(60, None), (61, ""), (1, docs[1][1])]
-    want = {(d, i) for d, t in docs for i, item in items if brute.overlapping(t, item, decontaminate.MASKS, decontaminate.WINDOW, decontaminate.EQUAL)}
+    want = {(d, i) for d, t in docs for i, item in items if brute.overlapping(t, item, decontaminate.MASKS, decontaminate.SHORT_MASKS, decontaminate.WINDOW, decontaminate.EQUAL)}
     frames = spark.createDataFrame(docs, SCHEMA).withColumn("item_id", F.lit(5)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(5))
     got = decontaminate.overlaps(*frames).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 10
@@ -88,9 +89,44 @@ def test_decontamination_on_large_benchmarks_is_not_broadcast(spark, monkeypatch
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.overlaps(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", 0)
     assert sorted(map(tuple, decontaminate.overlaps(docs, items).collect())) == want and len(want) > 10
 
 
+def test_one_substitution_hides_no_item(spark):
+    """Of items of nine words and more every one is found whichever word is another; of those with two others in 13 words nearly all."""
+    items = [(n, " ".join(f"{n}x{j}" for j in range(n))) for n in range(9, 20)]
+    docs, want = [], set()
+    for n, text in items:
+        for e in range(n):
+            docs.append((len(docs), " ".join(["before", *text.split()[:e], "other", *text.split()[e + 1 :], "After"])))
+            want.add((len(docs) - 1, n))
+    sql = spark.createDataFrame(docs, SCHEMA).withColumn("a.b", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(*sql).collect()} == want
+    two = [(k, e, f) for k, (e, f) in enumerate(itertools.combinations(range(20), 2))]
+    item = [f"w{j}" for j in range(20)]
+    docs = [(k, " ".join("other" if j in (e, f) else w for j, w in enumerate(item))) for k, e, f in two]
+    rule = [k for k, t in docs if brute.agrees(t.split(), item, 0, decontaminate.WINDOW, decontaminate.EQUAL)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count()
+    assert got >= 0.99 * len(rule)
+
+
+def test_lower_casing_is_of_ascii_alone(spark):
+    text = "ÉCOLE a b c d e f g h i j k l m n ÉTÉ"
+    docs, items = spark.createDataFrame([(1, text), (2, text.replace("É", "é").upper().replace("É", "é")), (3, text.lower())], SCHEMA), spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert sorted((r.doc_id, r.length) for r in decontaminate.overlaps(docs, items).collect()) == [(1, 16), (2, 14), (3, 14)]
+
+
+def test_words_are_not_shuffled_before_hits(spark, capsys):
+    """What meets the seeds, and is made distinct, is (text, place, seed) and (text, item, diagonal)."""
+    docs = spark.createDataFrame([(1, "a b")], SCHEMA)
+    decontaminate._seeded(decontaminate._keyed(docs).select(*decontaminate.TEXT, decontaminate.alnum_words(F.col("text")).alias("words")), decontaminate.TEXT, "i", decontaminate.MASKS).join(
+        spark.range(100).select(F.col("id").alias("seed"), F.col("id").alias("p")).hint("merge"), "seed"
+    ).explain("formatted")
+    exchanged = [line for line in capsys.readouterr().out.split("\n(") if " Exchange" in line.split("\n")[0]]
+    assert exchanged and not any("words" in x or "hashes" in x for x in exchanged)
+
+
 def test_decontamination_of_empty_tables(spark):
     some, none = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(some, none).count() == 0 and decontaminate.without_overlaps(some, none).count() == 1
