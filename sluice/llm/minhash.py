@@ -14,7 +14,8 @@
 Defined results: a null text, or one without words, has an empty set, links with nothing and keeps its own id.
 Repeated rows are returned as often as they come; a doc_id stands for one text, and which of several would be linked is
 undefined.  A null doc_id joins its equal set's class, is kept only if that has no other id, and links with nothing
-else.  Other columns are ignored.  An empty table gives an empty result.
+else.  Of equal candidates the smallest doc_id is the centre.  Very long texts are hashed a slice at a time, their sets
+are compared two at a time.  Other columns, whatever their names, are ignored.  An empty table gives an empty result.
 
 `representatives` does not rest on doc_id: each row is judged by its own text, under a number written for it, so null
 and repeated doc_ids lose no text.
@@ -39,7 +40,7 @@ WORDS = HASHES * BITS // 64
 #: Estimates below this are dropped.  At a similarity of 0.8 the estimate's standard deviation is 0.042.
 FLOOR = 0.6
 #: Members of a bucket, and bytes of their sets, that one task holds against as many others.
-BLOCK, BLOCK_BYTES = 8192, 16 << 20
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: The first bit of each packed value.
 PAIRS_MASK = 0x5555555555555555
 
@@ -61,7 +62,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     acc = np.zeros(rows.shape[:2], tk.U)
     for r in range(ROWS_IN_BAND):
         acc = acc * tk.U(tk.MULTIPLIER) + rows[:, :, r]
-    return tk.mix(acc)
+    return tk.mix(acc + tk.stream(BANDS, 37))  # a key belongs to one band
 
 
 def packed(low: np.ndarray) -> np.ndarray:
@@ -138,11 +139,11 @@ def _across(percent: int):
     most = int((1 - (FLOOR * 0.75 + 0.25)) * HASHES + 1e-9)
 
     def run(key, table):
-        band = key[0].as_py()
         ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
         component, center = table["component"].to_numpy(), table["center"].to_numpy()
         lists = lambda name, n: np.asarray(table[name].combine_chunks().flatten()).reshape(-1, n)
-        sig, bands = lists("sig", WORDS).view(tk.U), lists("bands", BANDS)[:, :band]
+        sig, bands = lists("sig", WORDS).view(tk.U), lists("bands", BANDS)
+        bands = bands[:, : int((bands[0] == key[0].as_py()).argmax())]
         sets = [np.frombuffer(x.as_py(), "<u4") for x in table["small"]]
         size = np.array([len(x) for x in sets])
         same = bool((side == 2).any())
@@ -174,9 +175,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     first = scratch.keep(
         signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "bands", "sig").join(classes.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     )
-    banded = first.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    centers = banded.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = scratch.keep(banded.join(centers, ["band", "key"]).select("band", "key", "doc_id", "n_shingles", "center", "n"))
+    banded = first.select("doc_id", F.explode("bands").alias("key"))
+    centers = banded.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = scratch.keep(banded.join(centers, "key").select("key", "doc_id", "center", "n"))
     sig = first.select("doc_id", "sig")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -196,14 +197,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Buckets of three or more that hold several components: pairs across those, in blocks of bounded size.
     label = member.filter("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_buckets = label.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held"))
-    open_buckets = open_buckets.filter("lo < hi").select("band", "key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") * 4 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    open_buckets = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    opened = scratch.keep(label.join(open_buckets, "key").select("key", "doc_id", "center", "component"))
+    sized = opened.join(first.select("doc_id", "n_shingles"), "doc_id").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held"))
+    sized = sized.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") * 4 / BLOCK_BYTES)).cast("int").alias("blocks"))
     blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")
-    opened = scratch.keep(label.join(open_buckets, ["band", "key"]).select("band", "key", "doc_id", "center", "component", "blocks"))
     small = scratch.keep(plain.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_small_sets(shingle), "doc_id long, small binary"))
     dealt = (
-        opened.join(first.select("doc_id", "sig", "bands"), "doc_id")
+        opened.join(sized, "key")
+        .join(first.select("doc_id", "sig", "bands"), "doc_id")
         .join(small, "doc_id")
         .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select(
@@ -213,7 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
-    more = scratch.keep(dealt.groupBy("band", "key", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
+    more = scratch.keep(dealt.groupBy("key", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
     whole = found
     if not more.isEmpty():
         # The links found already stand as one link from each node to its component.
@@ -244,7 +247,8 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     scratch = Scratch(docs.sparkSession)
     row = "_row"
-    rows = scratch.numbered(docs, row)
+    plain = columns(docs, "doc_id", "text")
+    rows = scratch.numbered(plain, row)
     judged = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle, percent)
     judged = judged.select(F.col("doc_id").alias(row), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
     ids = rows.select(row, "doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("doc_id").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("text"))
@@ -252,4 +256,4 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # Texts without words: equal rows share a group, and a null doc_id has the row's own.
     group = [F.col("component"), *(F.when(wordless, x) for x in (F.col("doc_id"), F.col("text"), F.when(F.col("doc_id").isNull(), F.col(row))))]
     stays = judged.join(ids, row).groupBy(*[x.alias(f"g{i}") for i, x in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", row)).alias("least"))
-    return rows.join(stays.select(F.col(f"least.{row}").alias(row)), row, "left_semi").select(docs.columns)
+    return rows.join(stays.select(F.col(f"least.{row}").alias(row)), row, "left_semi").select(plain.columns).toDF(*docs.columns)
