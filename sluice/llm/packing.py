@@ -9,7 +9,9 @@ Items of one length are alike, and sequences with equal residuals are too, so th
 at which offset.  Ranks are per-partition counters plus a running total, so no task sees all pieces of one length.
 
 Defined results: null or empty text is the end token alone; a document longer than a sequence is cut into full pieces
-after a first piece that takes the remainder; repeated rows are packed as often as they come; nothing is dropped.
+after a first piece that takes the remainder; repeated rows are packed as often as they come; nothing is dropped; of
+sequences that fit alike the one opened first is taken; very long texts are encoded one at a time; other columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from sluice.llm.runtime import Scratch, columns
 
 END = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, dealt long, local long"
-#: Share of each dimension in the choice of a sequence: tokens decide, documents and attention cost break ties.
-WEIGHTS = (1.0, 1e-3, 1e-3)
+#: Weight of each dimension, as a share of its capacity, in the choice of a sequence.
+WEIGHTS = (1.0, 1.0, 1.0)
+#: The least documents that a sequence is to hold where the number is chosen by the plan.
+LEAST_DOCUMENTS = 8
 
 
 @lru_cache(maxsize=2)
@@ -123,6 +127,28 @@ def plan(counts: dict[int, int], capacity: int, documents: int, cost: int, rule:
     return np.array(out, np.int64).reshape(-1, 5)
 
 
+def opened(rows: np.ndarray) -> int:
+    """Sequences of a plan."""
+    return int((rows[:, 3] + rows[:, 2]).max()) if len(rows) else 0
+
+
+def tightest(counts: dict[int, int], capacity: int, cost: int, rule: str) -> np.ndarray:
+    """The plan under the smallest document capacity, of LEAST_DOCUMENTS and its doubles, that costs no sequence.
+
+    With as many documents as tokens that capacity cannot bind, so the plan never opens more sequences than one that
+    minds tokens and cost alone, and of those plans it is one that spreads short documents most evenly.
+    """
+    free = plan(counts, capacity, capacity, cost, rule)
+    documents = LEAST_DOCUMENTS
+    while documents < capacity:
+        if documents * opened(free) >= sum(counts.values()):
+            bound = plan(counts, capacity, documents, cost, rule)
+            if opened(bound) <= opened(free):
+                return bound
+        documents *= 2
+    return free
+
+
 def _placed(rows: np.ndarray):
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))] if len(rows) else rows
     key = rows[:, 0] << 48 | rows[:, 1]
@@ -137,8 +163,13 @@ def _placed(rows: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 1024, documents: int = 1024, cost: int = 1024 * 1024, rule: str = "norm", tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, capacity: int = 1024, documents: int | None = None, cost: int | None = None, rule: str = "norm", tokenizer: str = "byte_bpe_50k") -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Without `documents` the plan chooses that capacity (`tightest`); without `cost` it is the square of `capacity`, the
+    cost of one full piece, which no smaller one could hold.
+    """
+    cost = capacity * capacity if cost is None else cost
     scratch = Scratch(docs.sparkSession)
     plain = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.keep(plain.mapInArrow(_cut(tokenizer, capacity), PIECES))
@@ -147,4 +178,4 @@ def pack(docs: DataFrame, capacity: int = 1024, documents: int = 1024, cost: int
     before = Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
     base = each.select("length", "dealt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["length", "dealt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(_placed(plan(counts, capacity, documents, cost, rule)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(_placed(tightest(counts, capacity, cost, rule) if documents is None else plan(counts, capacity, documents, cost, rule)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), capacity=1024, documents=1024, cost=1024 * 1024)
+    return pack(table(spark, sf_dir, "documents"), capacity=1024)
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@ import zlib
 import numpy as np
 import public_tokenizers as files
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm.packing import pack, plan
+from sluice.llm.packing import WEIGHTS, opened, pack, plan, tightest
 
 SCHEMA = "doc_id long, text string"
 
@@ -47,7 +48,7 @@ def test_plan_is_sequential_best_fit(rule):
         assert sorted(x for own in held.values() for x in own) == sorted(lengths.tolist())
         assert all(sum(o) <= 64 and len(o) <= documents and sum(x * x for x in o) <= cost for o in held.values())
         whole = np.array([64, documents, cost])
-        weight = np.array((1.0, 1e-3, 1e-3)) / whole
+        weight = np.array(WEIGHTS) / whole
         bins = []
         for length in sorted(lengths.tolist(), reverse=True):
             item = np.array([length, 1, length * length])
@@ -60,5 +61,28 @@ def test_plan_is_sequential_best_fit(rule):
         assert abs(len(held) - len(bins)) <= (0 if rule == "norm" else 1)
 
 
+def test_document_and_cost_capacity_bind(spark):
+    """Through pack(): fewer documents or less cost a sequence make another plan, and every sequence keeps within them."""
+    docs = spark.createDataFrame([(i, "word " * (1 + i * 7 % 90)) for i in range(300)], SCHEMA).select("*", F.lit(1).alias("a.b"), F.lit(2).alias("TEXT"))
+    sequences = {}
+    for documents, cost in ((None, None), (64, None), (5, None), (None, 9000)):
+        held = {}
+        for r in pack(docs, 64, documents, cost).collect():
+            held.setdefault(r.sequence_id, []).append(r.length)
+        sequences[documents, cost] = len(held)
+        assert all(sum(x) <= 64 and len(x) <= (documents or 64) and sum(n * n for n in x) <= (cost or 4096) for x in held.values())
+    assert sequences[None, None] == sequences[64, None] < sequences[5, None] + 1
+
+
+def test_the_chosen_document_capacity_binds_and_costs_nothing():
+    rng = np.random.default_rng(3)
+    for low, high in ((1, 9), (1, 64), (20, 64), (2, 3)):
+        counts = {int(v): int(n) for v, n in zip(*np.unique(rng.integers(low, high, 2000), return_counts=True), strict=True)}
+        free, bound = plan(counts, 64, 64, 4096), tightest(counts, 64, 4096, "norm")
+        assert opened(bound) == opened(free)
+        most = lambda rows: max(np.bincount(np.concatenate([np.arange(f, f + n) for _, _, n, f, _ in rows.tolist()])))
+        assert most(bound) <= most(free)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
