@@ -4,18 +4,22 @@ Prefix doubling over sampled suffixes.  Naming every byte position by rank pairs
 tens of bytes for each byte of text; instead
 
 1.  documents are dealt into blocks of bounded size, and in each block every window of `length` bytes elects one
-    position, the leftmost with the smallest hash of the next 16 bytes, among the `length - 15` that fit.  Equal
-    windows elect equal positions, so equal windows meet if elected positions with equal 16 bytes meet;
-2.  Spark deals the elected positions by a hash of those 16 bytes (rank 1), four bytes a position, and positions whose
-    rank is unique drop out;
+    position, the leftmost with the smallest hash of the next 16 bytes (rank 1), among the `length - 15` that fit.  Its
+    rank 2 is the pair of its rank 1 and that 16 bytes later, or where these are not in the window, 16 bytes earlier.
+    Equal windows elect equal positions, so equal windows meet if elected positions with equal rank 2 meet;
+2.  Spark deals the elected positions by rank 2, four bytes a position, and those whose rank is unique drop out;
 3.  the rest are dealt again with the bytes of their windows.  In a block equal contexts go once, with the smallest
-    doc_id, so that a passage held by a third of all documents costs one row part for each block.  The windows are
-    named by doubling, 16 to 32 to `length` bytes, each name a pair of names half as long (two independent 64-bit
-    names, so 128 bits decide), and windows with equal names are reranked by doc_id;
+    doc_id, so that a passage held by a third of all documents costs one row part for each block.  A rank that more
+    than `HOT` blocks have may stand in as many different surroundings, so its windows are dealt one by one, by a hash
+    of all their bytes.  The windows are named by doubling, 16 to 32 to `length` bytes, each name a pair of names half
+    as long (two independent 64-bit names, so 128 bits decide), and windows with equal names are reranked by doc_id;
 4.  what a smaller doc_id holds goes back to the blocks as runs of windows, and there becomes removed bytes.
 
+A block sends one row to each bucket that it has positions for, never more rows than positions.
+
 Defined results: null text is empty; matches never cross documents and are judged on the input, also where they
-overlap; rows with equal doc_id never remove one another; an empty table gives an empty result.
+overlap; rows with equal doc_id never remove one another; a text longer than a block is a block's only one; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import textkit as tk
-from sluice.llm.runtime import parts, small_batches, text_bytes
+from sluice.llm.runtime import columns, parts, small_batches, text_bytes
 
 KEY = 16
 #: Bytes of text in a block, and for each bucket of elected positions; one task holds the former, and what is elected in the latter.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
+#: Blocks that may have a rank before its windows are dealt one by one.
+HOT = 256
 U = np.uint64
 _CODEC = "zstd"
 
@@ -56,7 +62,7 @@ def paired(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
 
 
 def elect(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive windows that elect the same position: first window, last window, position, hash there, text index."""
+    """Runs of consecutive windows that elect the same position and extend its rank alike: first window, last window, position, rank 2, text index."""
     n = len(data)
     if n < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, np.int64))
@@ -79,15 +85,18 @@ def elect(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     for k in range(1, length):
         crossing = ends - k
         valid[crossing[(crossing >= 0) & (crossing < len(at))]] = False
+    later = at - np.arange(len(at)) <= length - 2 * KEY  # the rank's second half follows its first
+    change = (at[1:] != at[:-1]) | (later[1:] != later[:-1])
     fresh = np.ones(len(at), bool)
-    fresh[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
+    fresh[1:] = change | ~valid[:-1]
     fresh &= valid
     close = np.ones(len(at), bool)
-    close[:-1] = (at[1:] != at[:-1]) | ~valid[1:]
+    close[:-1] = change | ~valid[1:]
     close &= valid
     first, last = np.flatnonzero(fresh), np.flatnonzero(close)
     spot = at[first]
-    return first, last, spot, tk.mix(hashes[spot]), np.searchsorted(off, first, side="right") - 1
+    begin = spot - np.where(later[first], 0, KEY)
+    return first, last, spot, tk.mix(paired(tk.mix(hashes[begin]), tk.mix(hashes[begin + KEY]), 9) + later[first]), np.searchsorted(off, first, side="right") - 1
 
 
 class Block:
@@ -151,18 +160,21 @@ def _ranks(length: int, buckets: int):
     return run
 
 
-def _met(key, rows):
-    """For each block a bit for each of its ranks: another block has it too."""
-    ranks = [np.frombuffer(x.as_py(), "<u4") for x in rows["blob"]]
-    sizes = [len(x) for x in ranks]
-    together = np.concatenate(ranks)
-    order = np.argsort(together, kind="stable")
-    same = together[order][1:] == together[order][:-1]
-    met = np.zeros(len(together), bool)
-    met[order[1:][same]] = True
-    met[order[:-1][same]] = True
-    masks = [np.packbits(x).tobytes() for x in np.split(met, np.cumsum(sizes)[:-1])]
-    return pa.table({"bucket": rows["bucket"], "block": rows["block"], "blob": pa.array(masks, pa.binary())})
+def _met(hot: int):
+    """For each block two bits for each of its ranks: another block has it too, and more than `hot` blocks have it."""
+
+    def run(key, rows):
+        ranks = [np.frombuffer(x.as_py(), "<u4") for x in rows["blob"]]
+        sizes = [len(x) for x in ranks]
+        together = np.concatenate(ranks)
+        order = np.argsort(together, kind="stable")
+        start = np.flatnonzero(np.append(True, together[order][1:] != together[order][:-1]))
+        times = np.empty(len(together), np.int64)
+        times[order] = np.repeat(np.diff(np.append(start, len(order))), np.diff(np.append(start, len(order))))
+        masks = [np.packbits(np.concatenate([x > 1, x > hot])).tobytes() for x in np.split(times, np.cumsum(sizes)[:-1])]
+        return pa.table({"bucket": rows["bucket"], "block": rows["block"], "blob": pa.array(masks, pa.binary())})
+
+    return run
 
 
 def _contexts(length: int, buckets: int):
@@ -171,20 +183,31 @@ def _contexts(length: int, buckets: int):
     def run(key, docs, masks):
         block = Block(docs, length, buckets)
         shared = np.bincount(block.rank, minlength=len(block.ranks)) > 1
+        hot = np.zeros(len(block.ranks), bool)
         mask_of = dict(zip(masks["bucket"].to_pylist(), masks["blob"], strict=True))
         for lo, hi in _edges((block.ranks >> U(32)).astype(np.int64)):
-            mask = np.frombuffer(mask_of[int(block.ranks[lo] >> U(32))].as_py(), np.uint8)
-            shared[lo:hi] |= np.unpackbits(mask, count=hi - lo).astype(bool)
-        kept = np.flatnonzero(shared[block.rank]) if len(block.ranks) else np.empty(0, np.int64)
-        first = np.searchsorted(block.bucket, np.arange(buckets)) if len(kept) else None
+            mask = np.unpackbits(np.frombuffer(mask_of[int(block.ranks[lo] >> U(32))].as_py(), np.uint8), count=2 * (hi - lo)).astype(bool)
+            shared[lo:hi] |= mask[: hi - lo]
+            hot[lo:hi] = mask[hi - lo :]
+        some = len(block.ranks) > 0
+        kept = np.flatnonzero(shared[block.rank] & ~hot[block.rank]) if some else np.empty(0, np.int64)
+        bucket, shift, windows = block.bucket[kept], np.zeros(len(kept), np.int64), block.windows[kept]
+        split = np.flatnonzero(hot[block.rank]) if some else np.empty(0, np.int64)
+        if len(split):  # a context for each window, dealt by all its bytes
+            times = block.windows[split]
+            alone = np.repeat(split, times)
+            step = np.arange(len(alone)) - np.repeat(np.cumsum(times) - times, times)
+            kept, shift, windows = np.append(kept, alone), np.append(shift, step), np.append(windows, np.ones(len(alone), np.int64))
+            bucket = np.append(bucket, (tk.string_hashes(block.data, block.begin[alone] + step, block.begin[alone] + step + length) % U(buckets)).astype(np.int64))
+            order = np.argsort(bucket, kind="stable")
+            kept, shift, windows, bucket = kept[order], shift[order], windows[order], bucket[order]
         rows: list[tuple] = []
-        for lo, hi in _edges(block.bucket[kept]):
+        for lo, hi in _edges(bucket):
             own = kept[lo:hi]
-            bucket = int(block.bucket[own[0]])
-            size = block.windows[own] + length - 1
-            where = np.repeat(block.begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            blob = _squeeze(block.smallest[own], (own - first[bucket]).astype(np.uint32), block.windows[own].astype(np.uint16), block.elected[own].astype(np.uint16), block.data[where])
-            rows.append((bucket, key[0].as_py(), hi - lo, blob))
+            size = windows[lo:hi] + length - 1
+            where = np.repeat(block.begin[own] + shift[lo:hi] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            small = (x.astype(np.uint16) for x in (windows[lo:hi], block.elected[own] - shift[lo:hi], shift[lo:hi]))
+            rows.append((int(bucket[lo]), key[0].as_py(), hi - lo, _squeeze(block.smallest[own], own.astype(np.uint32), *small, block.data[where])))
         return pa.table(list(zip(*rows, strict=True)) or [[], [], [], []], schema=schema)
 
     return run
@@ -212,8 +235,8 @@ def _reranked(length: int):
         for block, n, blob in zip(rows["block"].to_pylist(), rows["contexts"].to_pylist(), rows["blob"], strict=True):
             raw = _expand(blob.as_py())
             number = lambda kind, at: np.frombuffer(raw, kind, n, at * n).astype(np.int64)  # noqa: B023, E731
-            held.append((np.full(n, block), number(np.uint32, 8), number(np.int64, 0), number(np.uint16, 12), number(np.uint16, 14), np.frombuffer(raw, np.uint8, offset=16 * n)))
-        block, ordinal, docs, windows, elected, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.append((np.full(n, block), number(np.uint32, 8), number(np.int64, 0), number(np.uint16, 12), number(np.uint16, 14), number(np.uint16, 16), np.frombuffer(raw, np.uint8, offset=18 * n)))
+        block, ordinal, docs, windows, elected, shift, data = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         sizes = windows + length - 1
         begin = np.cumsum(sizes) - sizes
@@ -226,7 +249,7 @@ def _reranked(length: int):
         if not keep.any():
             return pa.table(out, schema=schema)
         data = data[np.repeat(keep, sizes)]
-        block, ordinal, docs, windows, sizes = (x[keep] for x in (block, ordinal, docs, windows, sizes))
+        block, ordinal, docs, windows, shift, sizes = (x[keep] for x in (block, ordinal, docs, windows, shift, sizes))
         begin = np.cumsum(sizes) - sizes
         # doubling: 8, 16, 32 and at last `length` bytes
         words = tk.mix(tk.eights(data))
@@ -252,7 +275,7 @@ def _reranked(length: int):
         lo = hit[np.flatnonzero(new)]
         hi = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
         entry = of[lo]
-        zero = (np.cumsum(windows) - windows)[entry]
+        zero = (np.cumsum(windows) - windows - shift)[entry]
         by = np.argsort(block[entry], kind="stable")
         edges = np.append(np.flatnonzero(np.diff(block[entry][by], prepend=-1)), len(by))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -275,10 +298,9 @@ def _removed(block: Block, found: pa.Table) -> np.ndarray:
     own = np.flatnonzero(~later)
     by = np.argsort(block.context[own], kind="stable")
     own, of = own[by], block.context[own][by]
-    edge = {int(b): int(i) for b, i in zip(*np.unique(block.bucket, return_index=True), strict=True)}
-    for bucket, n, blob in zip(found["bucket"].to_pylist(), found["runs"].to_pylist(), found["blob"], strict=True):
+    for n, blob in zip(found["runs"].to_pylist(), found["blob"], strict=True):
         raw = _expand(blob.as_py())
-        context = np.frombuffer(raw, np.uint32, n).astype(np.int64) + edge[bucket]
+        context = np.frombuffer(raw, np.uint32, n).astype(np.int64)
         lo, hi = np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.int64), np.frombuffer(raw, np.uint16, n, 6 * n).astype(np.int64)
         a, b = np.searchsorted(of, context), np.searchsorted(of, context, side="right")
         times = b - a
@@ -318,25 +340,26 @@ FOUND = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) -> DataFrame:
-    """docs(doc_id, text, ...) -> the other columns of docs, then FOUND.
+    """docs(doc_id, text, ...) -> doc_id and the other columns of docs but text, then FOUND.
 
     `kept_text` is what is left as whole characters (a character goes only if all of its bytes do); null without
-    `with_text`.  A null doc_id ranks behind all others.  `length` is at least 32.  Columns of docs named like one of
-    FOUND are replaced.
+    `with_text`.  A null doc_id ranks behind all others.  `length` is at least 48.  Columns of docs named like one of
+    FOUND, in upper or lower case, are replaced; other names may be dotted, repeated, or alike but for case.
     """
-    if length < 2 * KEY:
-        raise ValueError(f"length is at least {2 * KEY}")
+    if length < 3 * KEY:
+        raise ValueError(f"length is at least {3 * KEY}")
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text" and c not in FOUND]
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
+    named = columns(docs, "doc_id", "text")
+    others = [(new, old) for new, old in zip(named.columns, docs.columns, strict=True) if new != "text" and old.lower() not in FOUND]
+    plain = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank_id"), F.col("text").cast("string").alias("text"), F.struct(*(x for x, _ in others)).alias("rest"))
     _, size = text_bytes(plain)
     blocks, buckets = parts(size, BLOCK_BYTES), parts(size, BUCKET_BYTES)
     dealt = plain.select(F.pmod(F.xxhash64("rank_id"), F.lit(blocks)).alias("block"), "rank_id", "text", "rest")
-    met = dealt.groupBy("block").applyInArrow(_ranks(length, buckets), RANKS).groupBy("bucket").applyInArrow(_met, RANKS)
+    met = dealt.groupBy("block").applyInArrow(_ranks(length, buckets), RANKS).groupBy("bucket").applyInArrow(_met(HOT), RANKS)
     contexts = dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_contexts(length, buckets), "bucket long, block long, contexts long, blob binary")
     found = contexts.groupBy("bucket").applyInArrow(_reranked(length), "block long, bucket long, runs long, blob binary")
     schema = T.StructType([T.StructField("rest", dealt.schema["rest"].dataType)])
     for name, kind in FOUND.items():
         schema = schema.add(name, kind)
     out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleaned(length, buckets, with_text), schema)
-    return out.select("rest.*", *FOUND)
+    return out.select(*(f"rest.{x}" for x, _ in others), *FOUND).toDF(*(x for _, x in others), *FOUND)

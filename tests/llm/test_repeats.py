@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ SCHEMA = "doc_id long, text string"
 
 @pytest.mark.parametrize("seed", range(3))
 def test_matches_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(repeats, "HOT", 256 if seed == 0 else seed)
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 700)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 900)
     rng = random.Random(seed)
@@ -40,6 +43,30 @@ def test_hot_passage_and_ties(spark):
     assert [r.kept_text for r in got if r.doc_id is None] == [""]
 
 
+def test_hot_phrases_in_different_surroundings(spark, monkeypatch):
+    """Phrases shorter than the length, common to all texts, bring no bucket more than its share, and remove nothing."""
+    rng = random.Random(8)
+    other = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for phrase in ("a phrase of twenty-nine bytes", "a much longer phrase, of nearly fifty bytes in all"[:48]):
+        rows = [(i, f"{other(60)}{phrase}{other(60)}") for i in range(3000)]
+        monkeypatch.setattr(repeats, "HOT", 3)
+        held = []
+        plain = pa.table({"rank_id": [i for i, _ in rows], "text": [t for _, t in rows], "rest": [None] * len(rows)})
+        tables = [plain.slice(k * 300, 300) for k in range(10)]
+        key = lambda k: (pa.scalar(k),)
+        ranks = pa.concat_tables(repeats._ranks(50, 64)(key(k), t) for k, t in enumerate(tables))
+        masks = pa.concat_tables(repeats._met(3)(None, ranks.filter(pa.compute.equal(ranks["bucket"], b))) for b in range(64) if pa.compute.any(pa.compute.equal(ranks["bucket"], b)).as_py())
+        for k, t in enumerate(tables):
+            held.append(repeats._contexts(50, 64)(key(k), t, masks.filter(pa.compute.equal(masks["block"], k))))
+        sizes = pa.concat_tables(held).group_by("bucket").aggregate([("contexts", "sum")])["contexts_sum"].to_pylist()
+        assert not sizes or max(sizes) <= 3 * (sum(sizes) / 64) + 20
+        docs = spark.createDataFrame(rows[:200], SCHEMA).withColumn("N_BYTES", F.lit(1)).withColumn("a.b", F.lit(2)).select("*", F.lit(3).alias("A.b"))
+        got = repeats.remove_repeats(docs, 50)
+        assert got.columns == ["doc_id", "a.b", "A.b", *repeats.FOUND]
+        want = {i: sum(gone) for i, _, gone in brute.removed(rows[:200], 50)}
+        assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
 def test_empty_table_and_short_length(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
