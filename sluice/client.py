@@ -32,7 +32,7 @@ SCHEMAS = {
     "subscriptions": "op_seq long, ts timestamp_ntz, op string, client_id string, pattern string",
     "queue": "op_seq long, ts timestamp_ntz, queue string, op string, id string, payload binary, priority int, max_n int, reason string",
     "queue_config": "op_seq long, queue string, op string, visibility_timeout_ms long, max_retries int",
-    "log": "topic string, seq long, ts timestamp_ntz, payload binary",
+    "log": "op_seq long, topic string, seq long, ts timestamp_ntz, payload binary",
     "log_config": "op_seq long, topic string, op string, max_ack_pending int, ack_wait_ms long, max_deliveries int",
     "groups": "topic string, group_id string, op_seq long, ts timestamp_ntz, op string, consumer_id string, generation long, seq long, max_n int",
 }
@@ -80,7 +80,7 @@ class Client:
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime] = utc_now, new_id: Callable[[], str] = lambda: str(uuid.uuid4())):
         self.spark, self.root, self.clock, self.new_id = spark, root.rstrip("/"), clock, new_id
-        self.last = max((self.ops(k).agg(F.max("pub_seq" if k == "publishes" else "op_seq")).first()[0] or 0 for k in SCHEMAS if k != "log"), default=0)
+        self.last = max((self.ops(k).agg(F.max("pub_seq" if k == "publishes" else "op_seq")).first()[0] or 0 for k in SCHEMAS), default=0)
         self.store, self.pubsub = Store(self), PubSub(self)
 
     def queue(self, name: str) -> Queue:
@@ -297,7 +297,7 @@ class Stream:
         return last is not None and last.op == "create"
 
     def delete(self) -> None:
-        """Ends the topic; its rows stay in the log and are no longer read."""
+        """Ends the topic: its rows and its groups' ops stay in the op logs, but only what follows a new create() counts."""
         self._checked()
         self.client.append("log_config", {"topic": self.topic, "op": "delete"})
 
@@ -307,9 +307,15 @@ class Stream:
             raise Missing(self.topic)
         return last
 
+    def _since_create(self, kind: str) -> DataFrame:
+        """The topic's ops since it was last created; none while it does not exist."""
+        last = self._config()
+        begin = F.lit(last.op_seq) if last is not None and last.op == "create" else F.lit(None)
+        return self.client.ops(kind).filter((F.col("topic") == self.topic) & (F.col("op_seq") > begin))
+
     @property
     def log(self) -> EventLog:
-        return EventLog(self.client.ops("log").filter(F.col("topic") == self.topic))
+        return EventLog(self._since_create("log"))
 
     def last_seq(self) -> int:
         row = self.log.last().first()
@@ -342,7 +348,7 @@ class Group:
         config = self.stream._checked()
         client, key = self.stream.client, {"topic": self.stream.topic, "group_id": self.name}
         seq = client.append("groups", {**key, "op": op, **values})
-        own = client.ops("groups").filter((F.col("topic") == self.stream.topic) & (F.col("group_id") == self.name))
+        own = self.stream._since_create("groups").filter(F.col("group_id") == self.name)
         bounds = client.spark.createDataFrame([(self.stream.topic, 1, self.stream.last_seq())], "topic string, head_seq long, last_seq long")
         limits = {k: config[k] for k in ("max_ack_pending", "ack_wait_ms", "max_deliveries")}
         rows = groups.fold_groups(own, bounds, **limits).filter(F.col("op_seq") == seq).collect()  # one call's rows
@@ -365,6 +371,17 @@ class Group:
         values = {r.seq: r.payload for r in self.stream.log.log.filter(F.col("seq").isin([s for s, _ in taken])).collect()}
         return [(s, decode(values[s]), attempt) for s, attempt in taken]
 
+    def work(self, handler: Callable[[Any], Any], consumer: str, generation: int = 1, n: int = CONSUME_BATCH) -> int:
+        """Fetches once and acknowledges what the handler takes; what it raises on stays pending until its time is up.  Gives the rows fetched."""
+        rows = self.fetch(consumer, generation, n)
+        for seq, value, _ in rows:
+            try:
+                handler(value)
+            except Exception:  # redelivered once the acknowledgement is overdue
+                continue
+            self.ack(consumer, seq, generation)
+        return len(rows)
+
     def ack(self, consumer: str, seq: int, generation: int = 1) -> int:
         """Gives the floor after it."""
         return self._do("ack", consumer_id=consumer, generation=generation, seq=seq)[0].ack_floor

@@ -114,9 +114,13 @@ def log_retention(spark, sf_dir):
     return eventlog.heads(kept).join(kept.groupBy("topic").agg(F.count(F.lit(1)).alias("segments"), F.sum("bytes").alias("bytes")), "topic")
 
 
-@query()
+# CRC-32 by hex digits: a table of 16, the low digit of a byte first.
+@query(LOG + """, crc as (select list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as digits),
+ bytes as (select topic, seq, printf('%016X', seq) || printf('%016X', epoch_us(ts) // 1000) || '02' || hex(props) as h from log),
+ digits as (select topic, seq, list_transform(range(0, strlen(h)), lambda i: cast(instr('0123456789ABCDEF', substr(h, case when i % 2 = 0 then i + 2 else i end, 1)) - 1 as bigint)) as d from bytes)
+ select topic, seq, xor(list_reduce(list_prepend(cast(4294967295 as bigint), d), lambda c, x: xor(c >> 4, crc.digits[(xor(c, x) & 15) + 1])), 4294967295) as crc from digits, crc""")
 def log_crc(spark, sf_dir):
-    """Record checksums; DuckDB has no CRC-32."""
+    """Record checksums."""
     return tables.log(spark, sf_dir).select("topic", "seq", eventlog.checksum(F.col("seq"), F.col("ts"), F.col("payload")).alias("crc"))
 
 
@@ -125,7 +129,10 @@ def log_next_seq(spark, sf_dir):
     return eventlog.next_seq(tables.log(spark, sf_dir))
 
 
-@query()
+@query(LOG.replace("with log", "with recursive log", 1) + """, c as materialized (select topic, seq, sum(25 + strlen(props)) over (partition by topic order by seq) as upto, 25 + strlen(props) as own from log),
+ b as (select topic, seq, upto - own as base from c where seq = 1
+  union all select n.topic, n.seq, c.upto - c.own from (select b.topic, min(c.seq) as seq from b join c on b.topic = c.topic and c.seq > b.seq and c.upto - b.base > 4096 group by b.topic) n join c using (topic, seq))
+ select topic, seq as segment, coalesce(lead(seq) over (partition by topic order by seq), (select max(seq) from c where c.topic = b.topic) + 1) - seq as rows from b""")
 def log_rolled(spark, sf_dir):
     """Exact greedy segment rolling at 4096 bytes: each boundary follows from the one before."""
     return EventLog(tables.log(spark, sf_dir)).rolled(4096).groupBy("topic", "segment").agg(F.count(F.lit(1)).alias("rows"))
@@ -209,18 +216,47 @@ def group_next_fetch(spark, sf_dir):
 
 @query()
 def group_fold(spark, sf_dir):
-    """Exact replay: join, then fetch and acknowledge in event order; overdue rows are redelivered and at last parked."""
+    """Exact replay in event order: each row is published, and then one op fetches or acknowledges; retention moves the head."""
     log = tables.log(spark, sf_dir)
-    none, event = F.lit(None), F.col("event_id")
+    none, event, seq = F.lit(None), F.col("event_id"), F.col("seq")
     join = log.filter("seq = 1").select("topic", F.lit("g1").alias("group_id"), F.lit(-1).cast("long").alias("op_seq"), "ts", F.lit("join").alias("op"), F.lit("w0").alias("consumer_id"), F.lit(1).cast("long").alias("generation"), none.cast("long").alias("seq"), none.cast("int").alias("max_n"))
-    rest = log.select(
-        "topic", F.lit("g1").alias("group_id"), event.alias("op_seq"), "ts", F.when(event % 3 == 0, "ack").otherwise("fetch").alias("op"), F.lit("w0").alias("consumer_id"), F.lit(1).cast("long").alias("generation"),
-        F.when(event % 3 == 0, F.greatest(F.lit(1), F.floor(F.col("seq") / 2))).cast("long").alias("seq"), F.lit(2).alias("max_n"),
-    )
-    bounds = EventLog(log).last().withColumn("head_seq", F.lit(1).cast("long"))
+    step = lambda at, op, to: F.struct((3 * seq + at).alias("op_seq"), op.alias("op"), to.cast("long").alias("seq"))
+    own = step(2, F.when(event % 3 == 0, "ack").otherwise("fetch"), F.when(event % 3 == 0, F.greatest(F.lit(1), F.floor(seq / 2))))
+    steps = F.array_compact(F.array(step(0, F.lit("publish"), seq), F.when(seq % 500 == 0, step(1, F.lit("head"), seq - 400)), own))
+    rest = log.select("topic", F.lit("g1").alias("group_id"), "ts", F.explode(steps).alias("s"), F.lit("w0").alias("consumer_id"), F.lit(1).cast("long").alias("generation"), F.lit(2).alias("max_n"))
+    rest = rest.select("topic", "group_id", "s.op_seq", "ts", "s.op", "consumer_id", "generation", "s.seq", "max_n")
+    bounds = log.select("topic").distinct().select("topic", F.lit(1).cast("long").alias("head_seq"), F.lit(0).cast("long").alias("last_seq"))
     return groups.fold_groups(join.unionByName(rest), bounds)
 
 
+@query(DELIVERIES + """, p as (select topic, group_id, count(*) filter (where not acked and deliveries < 5) as pending from dels group by all)
+ select topic, group_id, pending, cast(greatest(0, least(25, 100 - pending)) as bigint) as budget from p""")
+def group_budget(spark, sf_dir):
+    """What a fetch of 25 rows may take when 100 rows may be pending."""
+    pending = F.count_if(~F.col("acked") & (F.col("deliveries") < 5)).alias("pending")
+    return tables.deliveries(spark, sf_dir).groupBy(*groups.KEY).agg(pending).withColumn("budget", groups.budget(F.lit(25), F.col("pending"), 100).cast("long"))
+
+
+@query(DELIVERIES + " select topic, group_id, greatest(ack_floor, 49) as ack_floor, greatest(ack_floor, 49) + 1 as next_deliver from floors")
+def group_restored(spark, sf_dir):
+    """Groups after a restart, the head being 50."""
+    log = tables.log(spark, sf_dir)
+    heads = log.select("topic").distinct().withColumn("head_seq", F.lit(50).cast("long"))
+    return groups.restored(groups.floors(tables.deliveries(spark, sf_dir)), heads).select("topic", "group_id", "ack_floor", "next_deliver")
+
+
+@query("""select distinct event_type as topic, g.group_id, 'w' || (user_id % 25) as consumer_id, 'leave' as op, 1000 + user_id % 25 as op_seq
+ from events, (values ('g1'), ('g2')) g(group_id) where user_id % 25 in (select n_nationkey from nation where n_nationkey % 3 = 1)""")
+def group_disconnected(spark, sf_dir):
+    """Lost clients leave every group that they had joined."""
+    key = (F.col("user_id") % 25).cast("string")
+    members = tables.table(spark, sf_dir, "events").select(F.concat(F.lit("c"), key).alias("client_id"), F.col("event_type").alias("topic"), F.concat(F.lit("w"), key).alias("consumer_id")).distinct()
+    members = members.select("*", F.explode(F.array(F.lit("g1"), F.lit("g2"))).alias("group_id"))
+    nation = tables.table(spark, sf_dir, "nation").filter("n_nationkey % 3 = 1")
+    gone = nation.select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("client_id"), at(AS_OF).alias("ts"), (1000 + F.col("n_nationkey")).cast("long").alias("op_seq"))
+    return groups.disconnected(members, gone).select("topic", "group_id", "consumer_id", "op", "op_seq")
+
+
 # Key-value
 
 
@@ -229,10 +265,10 @@ def kv_live(spark, sf_dir):
     return KvTable(tables.kv_ops(spark, sf_dir)).live(at(AS_OF)).select("key", _text(), "expires_at")
 
 
-@query(KV + """, ks as (select 'user:' || range as key from range(0, 300))
+@query(KV + """, ks as (select 'user:' || c_custkey as key from customer)
  select ks.key, l.props as body from ks left join live l using (key)""")
 def kv_get_many(spark, sf_dir):
-    keys = spark.range(300).select(F.concat(F.lit("user:"), F.col("id").cast("string")).alias("key"))
+    keys = tables.table(spark, sf_dir, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
     return KvTable(tables.kv_ops(spark, sf_dir)).get(keys, at(AS_OF)).select("key", _text())
 
 
@@ -274,14 +310,13 @@ def fanout_undeduped(spark, sf_dir):
     return _router(spark, sf_dir).per_pattern()
 
 
-@query(f"""with subs as (select 'c' || n_nationkey as client_id, 'evt/+/u' || n_nationkey as pattern from nation where n_nationkey < 4), {PUBS}, {MATCH},
+@query(f"""with subs as (select 'c' || n_nationkey as client_id, 'evt/error/u' || n_nationkey as pattern from nation), {PUBS}, {MATCH},
  d as (select topic, count(distinct client_id) as delivered from matched join subs using (pattern) group by topic)
  select pub_seq, topic, coalesce(delivered, 0) as delivered from pubs left join d using (topic)""")
 def fanout_zero(spark, sf_dir):
     """Clients reached by each message; here most reach none."""
-    nation = tables.table(spark, sf_dir, "nation").filter("n_nationkey < 4")
     key = F.col("n_nationkey").cast("string")
-    subs = nation.select(F.concat(F.lit("c"), key).alias("client_id"), F.concat(F.lit("evt/+/u"), key).alias("pattern"))
+    subs = tables.table(spark, sf_dir, "nation").select(F.concat(F.lit("c"), key).alias("client_id"), F.concat(F.lit("evt/error/u"), key).alias("pattern"))
     return TopicRouter(tables.publishes(spark, sf_dir), subs).counts()
 
 
@@ -423,6 +458,31 @@ def dlq_purge_count(spark, sf_dir):
     return workqueue.purge_counts(_dead(spark, sf_dir))
 
 
+@query(MSGS + " select queue, id, case when failures >= 5 then 'dlq' when visible_at > timestamp '1997-01-01 00:00:00' and attempts > 0 then 'inflight' else 'ready' end as state from msgs")
+def q_restarted(spark, sf_dir):
+    """Queues after a restart: dead letters stay dead, what is not yet due stays in flight, the rest is ready."""
+    dead = _dead(spark, sf_dir).select("queue", "id", F.lit("dlq").alias("state"))
+    alive = workqueue.recovered(tables.queue_messages(spark, sf_dir).filter("failures < 5"), at(QUEUE_AS_OF)).select("queue", "id", "state")
+    return alive.unionByName(dead)
+
+
+@query("""with last as (select o_custkey % 100 as k, arg_max(o_orderkey % 3, o_orderkey) as op from orders where o_orderkey % 3 < 2 group by 1)
+ select 'q' || k as queue from last where op = 0""")
+def q_existing(spark, sf_dir):
+    """Queues whose last create or delete is a create."""
+    key = F.col("o_orderkey")
+    op = F.when(key % 3 == 0, "create").when(key % 3 == 1, "delete").otherwise("push")
+    ops = tables.table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), (F.col("o_custkey") % 100).cast("string")).alias("queue"), key.alias("op_seq"), op.alias("op"))
+    return workqueue.existing(ops)
+
+
+@query("select o_orderkey as id, 'Queue not found' as reason from orders where o_orderstatus <> 'O'")
+def q_unknown(spark, sf_dir):
+    """Pushes to queues that were not created."""
+    pushes = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("queue"))
+    return workqueue.unknown_queue(pushes, spark.createDataFrame([("O",)], "queue string")).select("id", "reason")
+
+
 @query("with c as (select o_orderstatus as queue, min_by(o_orderkey % 7, o_orderkey) as max_retries from orders group by 1) select queue, max_retries from c")
 def q_config(spark, sf_dir):
     """First configuration wins."""
@@ -476,6 +536,13 @@ def payload_kinds(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").select("event_id", coded.alias("payload")).select("event_id", _text(), pl.kind(F.col("payload")).alias("kind"))
 
 
+@query(LOG + " select topic, seq, seq as read_seq, strlen(props) + 1 <= 24 as small from log")
+def payload_limits(spark, sf_dir):
+    """A record's number read back from its bytes, and whether the payload is within 24 bytes."""
+    record = eventlog.record(F.col("seq"), F.col("ts"), F.col("payload"))
+    return tables.log(spark, sf_dir).select("topic", "seq", pl.read_uint(record, 8, 8).cast("long").alias("read_seq"), pl.within_limit(F.col("payload"), 24).alias("small"))
+
+
 @query("select c_custkey, c_name from customer where contains(lower(c_name), '00001') order by c_name, c_custkey limit 30 offset 5")
 def name_page(spark, sf_dir):
     """A filtered, ordered page of names."""

@@ -108,4 +108,21 @@ def test_stream(client, spark):
     again = Client(spark, client.root, client.clock)
     assert again.last == client.last and again.stream("t").last_seq() == 3
     s.delete()
-    assert not s.exists()
+    assert not s.exists() and s.read().count() == 0 and s.tail().count() == 0
+    with pytest.raises(Missing):
+        s.publish("lost")
+    s.create()
+    assert s.read().count() == 0 and s.publish("d") == 1
+    assert g.join("w") == 1 and g.fetch("w") == [(1, "d", 1)]
+
+
+def test_group_worker(client, spark):
+    s = client.stream("jobs")
+    s.create()
+    s.publish(1, 2, 3)
+    g, seen = s.group("g"), []
+    g.join("w")
+    assert g.work(lambda x: seen.append(10 // (x - 2)), "w") == 3 and seen == [-10, 10]
+    with pytest.raises(Rejected, match="NOT_PENDING"):
+        g.ack("w", 1)
+    assert g.ack("w", 2) == 3

@@ -189,6 +189,18 @@ def test_backpressure_and_clamp(spark):
     assert (state.floor, state.next, state.pending) == (5, 6, {})
 
 
+def test_the_log_moves_while_a_group_reads(spark):
+    """Rows are not delivered before they are published; what retention dropped is neither redelivered nor acknowledged."""
+    ops, _ = group_ops(spark, (0, "join", "a"), (0, "fetch", "a", 1, None, 9), (0, "publish", None, None, 3), (1, "fetch", "a", 1, None, 2), (1, "publish", None, None, 6), (2, "head", None, None, 3), (2, "ack", "a", 1, 1), (3, "fetch", "a", 1, None, 9), (99, "fetch", "a", 1, None, 9))
+    out = groups.fold_groups(ops, spark.createDataFrame([("t", 1, 0)], "topic string, head_seq long, last_seq long")).orderBy("op_seq", "seq").collect()
+    fetched = {}
+    for r in out:
+        if r.attempt is not None:
+            fetched.setdefault(r.op_seq, []).append((r.seq, r.attempt))
+    assert fetched == {3: [(1, 1), (2, 1)], 7: [(3, 1), (4, 1), (5, 1), (6, 1)], 8: [(3, 2), (4, 2), (5, 2), (6, 2)]}
+    assert [(r.rejected, r.ack_floor) for r in out if r.op == "ack"] == [("NOT_PENDING", 2)]
+
+
 def test_log_numbers_are_contiguous(spark):
     rows = [("a" if i % 3 else "b", i, f"2024-01-{1 + i % 20:02d} 00:00:00") for i in range(200)]
     df = timed(spark.createDataFrame(rows, "topic string, id long, ts string"))
