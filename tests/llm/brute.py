@@ -95,12 +95,20 @@ def quality_counts(text):
 def overlapping(doc, item, masks, short_masks, window, equal):
     """Whether an item lies over a document along the diagonal of a seed hit as the operator asks."""
     d, t = ALNUM.findall(lower(doc)), ALNUM.findall(lower(item))
-    span = len(masks[0])
+    span, laid = len(masks[0]), set()
     masks = masks + short_masks if len(t) < window else masks
-    for i in range(len(d) - span + 1):
-        for p in range(len(t) - span + 1):
-            if any(all(d[i + j] == t[p + j] for j, bit in enumerate(m) if bit == "1") for m in masks) and agrees(d, t, i - p, window, equal):
-                return True
+    seed = lambda words, at, m: (m, *(words[at + j] for j, bit in enumerate(m) if bit == "1"))
+    places = defaultdict(list)
+    for p in range(len(t) - span + 1):
+        for m in masks:
+            places[seed(t, p, m)].append(p)
+    for i in range(len(d) - span + 1 if places else 0):
+        for m in masks:
+            for p in places.get(seed(d, i, m), ()):
+                if i - p not in laid:
+                    laid.add(i - p)
+                    if agrees(d, t, i - p, window, equal):
+                        return True
     return False
 
 
