@@ -14,11 +14,12 @@ from sluice.functions.common import PAGE_CAP, PAGE_DEFAULT, RETENTION_BYTES, RET
 RECORD_BYTES = 24
 
 
-def with_seq(events: DataFrame, order: str, topic: str = "topic", time: str = "ts", width_s: int = 86_400) -> DataFrame:
+def with_seq(events: DataFrame, order: str, topic: str = "topic", time: str = "ts", width_s: int = 60) -> DataFrame:
     """events plus seq: 1, 2, ... for each topic by (time, order), which is unique.
 
     Numbers are given within (topic, stretch of time) and shifted by the counts of earlier stretches, so the busiest
-    topic is numbered by as many tasks as it has stretches, not by one.
+    topic is numbered by as many tasks as it has stretches, not by one.  Numbering and the join of the counts share one
+    exchange; only the counts, a row for each stretch, are summed up by topic.
     """
     stretch = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (width_s * 1_000_000))
     cut = events.withColumn("_stretch", stretch)

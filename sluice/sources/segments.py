@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 HEADER = struct.Struct(">IIQQ")  # length after the first 8 bytes, checksum, seq, time in ms
 DECODED = "path string, seq long, ts_ms long, payload binary"
+#: Rows of a segment: some 64 MB at 250 bytes a row.
+SEGMENT_ROWS = 1 << 18
 
 
-def append(log: DataFrame, root: str, rows: int = 100) -> None:
-    """Append a log; a segment is a partition, so that a range read touches the files of its segments only."""
-    log.withColumn("segment", F.floor((F.col("seq") - 1) / rows)).write.mode("append").partitionBy("topic", "segment").parquet(root)
+def append(log: DataFrame, root: str, rows: int = SEGMENT_ROWS) -> None:
+    """Append a log; a segment is a partition, so that a range read touches the files of its segments only.
 
+    Each segment gets one file an append, ordered by seq, so that within it the row groups' bounds prune too.
+    """
+    cut = log.withColumn("segment", F.floor((F.col("seq") - 1) / rows))
+    cut.repartition("topic", "segment").sortWithinPartitions("topic", "segment", "seq").write.mode("append").partitionBy("topic", "segment").parquet(root)
 
-def read_range(spark: SparkSession, root: str, topic: str, start: int, limit: int, rows: int = 100) -> DataFrame:
+
+def read_range(spark: SparkSession, root: str, topic: str, start: int, limit: int, rows: int = SEGMENT_ROWS) -> DataFrame:
     """At most limit rows of a topic from start on; earlier and later segments are pruned."""
     start = max(start, 1)
     segment = F.col("segment").between((start - 1) // rows, (start + limit - 2) // rows)

@@ -1,7 +1,8 @@
 """Queue and consumer-group machines over streams: the same folds as in batch, with event-time timers.
 
 State is one value for each queue or group.  Ops of a micro-batch are applied in op_seq order; a timer is set for the
-earliest deadline and fires once the watermark has passed it, so a stream reaches the batch fold's end state.
+head of the deadline heap and fires once the watermark has passed it, so a stream reaches the batch fold's end state;
+a head whose message has moved on costs one early call.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ class QueueMachine(_Machine):
         return QueueState(**self.limits)
 
     def due(self, machine: QueueState) -> int | None:
-        return min((m[3] for m in machine.messages.values() if m[3] is not None), default=None)
+        return machine.due[0][0] if machine.due else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         machine, out = self._load(), []
@@ -87,7 +88,7 @@ class GroupMachine(_Machine):
         return GroupState(1, 0, **self.limits)
 
     def due(self, machine: GroupState) -> int | None:
-        return min((at + machine.ack_wait_ms + 1 for _, at in machine.pending.values()), default=None)
+        return machine.due[0][0] + 1 if machine.due else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         machine, out = self._load(), []

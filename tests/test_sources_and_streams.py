@@ -34,10 +34,13 @@ def test_record_bytes_match_the_codec(spark):
 
 def test_append_and_range(spark, rows, tmp_path):
     log = tables.log(spark, DATA)
-    segments.append(log, str(tmp_path / "log"))
-    got = segments.read_range(spark, str(tmp_path / "log"), "view", 90, 30)
-    assert rows(got, "seq") == [(i,) for i in range(90, 120)]
-    assert "PartitionFilters: [isnotnull(topic" in got._jdf.queryExecution().toString()
+    for size in (100, segments.SEGMENT_ROWS):
+        root = tmp_path / str(size)
+        segments.append(log, str(root), size)
+        got = segments.read_range(spark, str(root), "view", 90, 30, size)
+        assert rows(got, "seq") == [(i,) for i in range(90, 120)]
+        assert "PartitionFilters: [isnotnull(topic" in got._jdf.queryExecution().toString()
+        assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in root.glob("topic=*/segment=*"))
 
 
 def in_files(df, path, n, order):
