@@ -14,8 +14,8 @@ span, those of another license must not stand in it or in the stretch the whole
 
 The template table has a fixed size and is broadcast.  A text's hits are bounded by its own length, so no group grows
 with the corpus.  Defined results: null and empty texts have no words and no labels; repeated rows are scanned each;
-very long texts take time in proportion; other columns, whatever their names, are ignored; an empty table gives an
-empty result.
+between spans that agree alike the earlier template wins, then the later run; very long texts take time in proportion;
+other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ tens of bytes for each byte of text; instead
 A block sends one row to each bucket that it has positions for, never more rows than positions.
 
 Defined results: null text is empty; matches never cross documents and are judged on the input, also where they
-overlap; rows with equal doc_id never remove one another; a text longer than a block is a block's only one; an empty
-table gives an empty result.
+overlap; rows with equal doc_id, repeated rows among them, never remove one another; a text longer than a block is a
+block's only one; other columns, whatever their names, are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations

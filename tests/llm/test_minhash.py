@@ -59,3 +59,14 @@ def test_nulls_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Whole texts count: copies of 60 000 words with few and with many changes at their ends."""
+    words = [f"w{i}" for i in range(60_000)]
+    texts = [words, words[:-3_000] + [f"x{i}" for i in range(3_000)], words[:45_000] + [f"y{i}" for i in range(15_000)], ["one"] * 60_000]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want, sets = brute.components(rows, 4)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], len(sets[i])) for i, _ in rows}
+    assert [want[i] for i in range(4)] == [0, 0, 2, 3]

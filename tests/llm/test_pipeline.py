@@ -1,5 +1,8 @@
 """The pipeline against plain versions of its stages, each on the stage's own input."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sluice.llm import decontaminate, quality_rules
 from sluice.llm.runtime import Scratch
@@ -59,3 +62,30 @@ def test_contaminated_rows_go_by_their_own_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, DATA).collect()]
     assert sorted(got, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_edge_rows_and_empty_tables(spark, name, stage):
+    """Nulls in any column, empty, repeated and very long texts, and columns named alike but for case or like an operator's own."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    plain = "A plain sentence stands here, and it says what it has to say in words of its own. The next one goes on from there until the thought is done."
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, long, "en", None, None), (4, plain, "en", "s", 9), (4, plain, "en", "s", 9), (None, " \n\t ", "en", "s", 3), (5, "x" * 100_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for extra in ("TEXT", "a.b", "row", "N_BYTES", "component", "_1", "kept"):
+        docs = docs.withColumns({extra: F.lit("e")}) if extra != "TEXT" else docs.select("*", F.lit("e").alias("TEXT"))
+    got = stage(spark, docs, DATA).collect()
+    empty = stage(spark, docs.filter(F.lit(False)), DATA)
+    assert empty.count() == 0
+    if name == "packing":
+        assert len({(r.doc_id, r.piece) for r in got}) >= len(rows) - 2 and sum(r.piece == 0 for r in got) == len(rows)
+        return
+    assert empty.columns == corpus_pipeline.COLUMNS
+    texts = [(r.doc_id, r.text) for r in got]
+    assert (3, long) in texts if name != "quality_rules" else all(len((t or "").split()) >= 20 for _, t in texts)
+    assert (4, plain) in texts
+    if name == "decontamination":
+        assert sorted(texts, key=str) == sorted([(i, t) for i, t, *_ in rows], key=str)
+    if name == "suffix_repeats":
+        assert sorted(((i, t or "") for i, t in texts if i != 4), key=str) == sorted(((i, t or "") for i, t, *_ in rows if i != 4), key=str)
+    if name == "near_duplicates":
+        assert len(texts) == len(rows) - 1

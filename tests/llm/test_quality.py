@@ -165,3 +165,32 @@ def test_held_out_labels_are_never_read(spark):
     flipped = labels.withColumn("quality", F.when(gam.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     score = lambda table: [(r.doc_id, r.score) for r in gam.classify(docs, table).orderBy("doc_id").collect()]
     assert score(labels) == score(flipped)
+
+
+def test_scores_are_sums_of_looked_up_values(spark):
+    """The vectorised score against the model read value by value, and each tree against a plain search for its cut."""
+    docs, labels = tables(spark)
+    model = gam.fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    sample = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["", "x" * 5000]
+    x = gam.features(tk.Texts(pa.array(sample)))
+    bin_of = lambda edges, v: sum(1 for e in edges if e <= v)
+    for row, score in zip(x.tolist(), model.score(x), strict=True):
+        total = model.base + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        total += sum(t[bin_of(model.coarse[i], row[i])][bin_of(model.coarse[j], row[j])] for i, j, t in model.pairs)
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+
+
+def test_two_way_tree_is_the_best_cut():
+    rng = np.random.default_rng(2)
+    g, w = rng.normal(size=(5, 4)), rng.random((5, 4)) * 9
+    best = (-1.0, None)
+    for r in range(1, 5):
+        for c in range(1, 4):
+            leaves = [(g[a, b].sum(), w[a, b].sum() + 3.0, (a, b)) for a in (slice(0, r), slice(r, 5)) for b in (slice(0, c), slice(c, 4))]
+            gain = sum(s * s / n for s, n, _ in leaves)
+            if gain > best[0] + 1e-12:
+                best = (gain, leaves)
+    want = np.zeros_like(g)
+    for s, n, spot in best[1]:
+        want[spot] = s / n
+    assert np.allclose(gam._two_way(g, w), want)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import sharding
 
@@ -52,3 +53,39 @@ def test_empty_table_and_bad_law(spark):
     assert all(sharding.shard(empty, 4, law).count() == 0 for law in sharding.LAWS)
     with pytest.raises(ValueError):
         sharding.shard(empty, 4, "moon")
+
+
+def plainly_differenced(weights, k):
+    """Karmarkar-Karp on lists of items: the sums of the sets, largest spread first, earlier partition first among equals."""
+    parts = [(max(w, 0), i, [[w] if j == 0 else [] for j in range(k)]) for i, w in enumerate(weights)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, a), (_, _, b), *parts = parts
+        down, up = sorted(a, key=lambda s: -sum(s)), sorted(b, key=sum)
+        both = [x + y for x, y in zip(down, up, strict=True)]
+        sums = [sum(s) for s in both]
+        parts.append((max(sums) - min(sums), made, both))
+        made += 1
+    return sorted(sum(s) for s in parts[0][2])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_matches_a_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    weight, k = rng.integers(1, (10, 1000, 10**12)[seed % 3], 120), 2 + seed
+    start = np.zeros((len(weight), k), np.int64)
+    start[:, 0] = weight
+    sums = np.zeros(k, np.int64)
+    np.add.at(sums, sharding.differenced(start)[:, 0], weight)
+    assert sorted(sums.tolist()) == plainly_differenced(weight.tolist(), k)
+
+
+def test_one_block_is_the_plain_version(spark):
+    """Through shard(): groups are equal texts, and the shards' bytes are those of plain differencing over the groups."""
+    data = [(i, t) for i, t in rows() if i is not None]
+    groups = {}
+    for _, t in data:
+        groups[t or ""] = groups.get(t or "", 0) + len(t or "") + 8
+    got = sharding.shard(spark.createDataFrame(data, SCHEMA).withColumn("Text.x", F.lit(1)).withColumn("SHARD", F.lit(2)), 6, "bytes").groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert sorted(r.s for r in got) == plainly_differenced(sorted(groups.values(), reverse=True), 6)
