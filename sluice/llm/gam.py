@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
-from sluice.llm.profile import IS_DIGIT, IS_LEAD, IS_LETTER, IS_LOWER, IS_STOP, IS_SYMBOL, IS_UPPER, profile, summed
+from sluice.llm.profile import EVERY, IS_DIGIT, IS_LEAD, IS_LETTER, IS_LOWER, IS_STOP, IS_SYMBOL, IS_UPPER, profile, summed
 from sluice.llm.runtime import columns, small_batches
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 12_000, 32, 12, 6
@@ -36,12 +36,11 @@ NAMES = [
 def features(texts: tk.Texts) -> np.ndarray:
     """Texts x features."""
     p = profile(texts)
-    data, off, n = p.data, p.off, texts.n
-    lo, hi = off[:-1], off[1:]
-    count = lambda flag: summed(flag, lo, hi).astype(float)
+    data, n = p.data, texts.n
+    count = lambda flag: (p.byte_counts @ flag.astype(np.int64)).astype(float)
     of_words = lambda flag: summed(flag, p.first[:-1], p.first[1:]).astype(float)
-    chars, words = count(IS_LEAD[data]), p.n_words.astype(float)
-    size, some = np.maximum(count(~tk.is_space(data)), 1), np.maximum(words, 1)
+    chars, words = count(IS_LEAD), p.n_words.astype(float)
+    size, some = np.maximum(count(~tk.is_space(EVERY)), 1), np.maximum(words, 1)
     text = np.repeat(np.arange(n), p.n_words)
     order = np.lexsort((p.hashes, text))
     h, t = p.hashes[order], text[order]
@@ -54,10 +53,10 @@ def features(texts: tk.Texts) -> np.ndarray:
     lines = np.bincount(p.lines.text, minlength=n).astype(float)
     last = data[np.maximum(p.ends - 1, 0)] if len(p.ends) else np.empty(0, np.uint8)
     line_last = data[np.maximum(p.lines.hi - 1, 0)] if len(p.lines.hi) else np.empty(0, np.uint8)
-    letters = IS_LETTER[data]
+    other = (EVERY > 32) & (EVERY < 127) & ~IS_LETTER & ~IS_DIGIT & ~IS_STOP & ~IS_SYMBOL
     values = [
-        np.log1p(chars), np.log1p(words), p.word_chars / some, count(IS_UPPER[data]) / size, count(IS_LOWER[data]) / size, count(IS_DIGIT[data]) / size,
-        p.n_symbols / size, count(data == 124) / size, count(data == 33) / size, count(IS_STOP[data]) / size, count((data > 32) & (data < 127) & ~letters & ~IS_DIGIT[data] & ~IS_STOP[data] & ~IS_SYMBOL[data]) / size, count(data >= 128) / size,
+        np.log1p(chars), np.log1p(words), p.word_chars / some, count(IS_UPPER) / size, count(IS_LOWER) / size, count(IS_DIGIT) / size,
+        p.n_symbols / size, count(EVERY == 124) / size, count(EVERY == 33) / size, count(IS_STOP) / size, count(other) / size, count(EVERY >= 128) / size,
         np.bincount(t[start], minlength=n) / some, p.n_dup_lines / np.maximum(lines, 1), p.n_repeat_words / some, chars / np.maximum(lines, 1), np.log1p(lines), of_words(IS_SYMBOL[last]) / some, of_words(last == 33) / some, commonest / some,
         of_words(p.ends - p.starts > 14) / some, np.bincount(p.lines.text, IS_STOP[line_last].astype(float), n) / np.maximum(lines, 1),
     ]

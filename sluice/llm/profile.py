@@ -24,8 +24,9 @@ IS_UPPER = _flags(bytes(range(65, 91)))
 IS_LOWER = _flags(bytes(range(97, 123)))
 IS_DIGIT = _flags(b"0123456789")
 IS_STOP = _flags(b".,;:?")
-IS_LEAD = (np.arange(256) & 0xC0) != 0x80
-IS_LETTER = IS_UPPER | IS_LOWER | (IS_LEAD & (np.arange(256) >= 128))
+EVERY = np.arange(256)
+IS_LEAD = (EVERY & 0xC0) != 0x80
+IS_LETTER = IS_UPPER | IS_LOWER | (IS_LEAD & (EVERY >= 128))
 
 
 def summed(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -35,6 +36,15 @@ def summed(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return total[hi] - total[lo]
 
 
+def byte_counts(texts: tk.Texts) -> np.ndarray:
+    """Texts x 256: how often each byte occurs."""
+    out = np.zeros((texts.n, 256), np.int64)
+    for i, (lo, hi) in enumerate(zip(texts.off[:-1].tolist(), texts.off[1:].tolist(), strict=True)):
+        if hi > lo:
+            out[i] = np.bincount(texts.data[lo:hi], minlength=256)
+    return out
+
+
 @dataclass
 class Lines:
     """Lines with a word: text index, first byte, end, words, and whether an earlier line of the text is equal."""
@@ -54,6 +64,7 @@ class Profile:
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    byte_counts: np.ndarray
     n_words: np.ndarray
     word_chars: np.ndarray
     n_symbols: np.ndarray
@@ -76,8 +87,8 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarr
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, at[twice], 1)
-    np.add.at(change, at[twice] + size, -1)
+    change[at[twice]] += 1  # starts are distinct, and so are ends
+    change[at[twice] + size] -= 1
     return summed(np.cumsum(change[:-1]) > 0, first[:-1], first[1:])
 
 
@@ -104,12 +115,12 @@ def lines_of(texts: tk.Texts, starts: np.ndarray) -> Lines:
 def profile(texts: tk.Texts) -> Profile:
     data, off = texts.data, texts.off
     hashes, starts, ends, first = tk.word_hashes(texts, lower=False)
-    lines = lines_of(texts, starts)
+    lines, held = lines_of(texts, starts), byte_counts(texts)
     return Profile(
-        data, off, starts, ends, first, hashes,
+        data, off, starts, ends, first, hashes, held,
         n_words=np.diff(first),
-        word_chars=summed(IS_LEAD[data] & ~tk.is_space(data), off[:-1], off[1:]),
-        n_symbols=summed(IS_SYMBOL[data], off[:-1], off[1:]),
+        word_chars=held @ (IS_LEAD & ~tk.is_space(EVERY)).astype(np.int64),
+        n_symbols=held @ IS_SYMBOL.astype(np.int64),
         n_dup_lines=np.bincount(lines.text[lines.repeated], minlength=texts.n).astype(np.int64),
         n_repeat_words=repeated_words(hashes, first, 8),
         lines=lines,
