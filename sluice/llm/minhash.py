@@ -5,7 +5,7 @@
 2.  Documents with equal sets form one class; only the smallest doc_id of each goes on.
 3.  Members of a band bucket are paired with the bucket's smallest member: a star, never all pairs.
 4.  A pair goes on if the collision-corrected estimate from the packed bits reaches `floor`; then the two full sets
-    are compared.
+    are compared.  A sieve of the wanted ids is broadcast first, so that other texts are not shuffled.
 5.  Buckets that still hold more than one component are searched again in blocks, signatures against signatures and
     then sets of 32-bit hashes, for pairs across components only; what passes is compared in full.  So no link between
     candidates is lost, a bucket of linked copies costs as many comparisons as it has members, and what leaves a block
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import textkit as tk
-from sluice.llm.runtime import Scratch, columns, components
+from sluice.llm.runtime import Scratch, columns, components, sifted
 
 BANDS, ROWS_IN_BAND, BITS = 32, 4, 2
 HASHES = BANDS * ROWS_IN_BAND
@@ -181,8 +181,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = first.select("doc_id", "sig")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(plain.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return scratch.keep(with_a.join(plain.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(_verifier(shingle, percent), "a long, b long"))
+        def texts(side: str) -> DataFrame:
+            return sifted(plain.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side, pairs)
+
+        return scratch.keep(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(_verifier(shingle, percent), "a long, b long"))
 
     stars = member.filter("doc_id != center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     likely = (
@@ -203,7 +205,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sized = sized.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") * 4 / BLOCK_BYTES)).cast("int").alias("blocks"))
     blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")
-    small = scratch.keep(plain.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_small_sets(shingle), "doc_id long, small binary"))
+    # No semi join: Spark moves one below the sieve, and all texts are shuffled again.
+    small = scratch.keep(opened.select("doc_id").distinct().join(sifted(plain, "doc_id", opened), "doc_id").mapInArrow(_small_sets(shingle), "doc_id long, small binary"))
     dealt = (
         opened.join(sized, "key")
         .join(first.select("doc_id", "sig", "bands"), "doc_id")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes, that Spark hands to Python at once; texts can be long, so far fewer than Spark's defaults.
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+#: Longs, of 64 bits each, that sifted() sends to the executors at most.
+SIEVE = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,6 +100,18 @@ def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"])
 
 
+def sifted(table: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Rows of table whose `name` is in wanted's column of that name, and few others: a join by it then shuffles few rows in vain.
+
+    Each wanted value sets a bit of a filter that is broadcast; its size is bounded, so many values only let more rows pass.
+    """
+    key = F.xxhash64(name)
+    slot = F.pmod(key, F.lit(SIEVE)).alias("_slot")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58).cast("int"))
+    sieve = wanted.select(slot, bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    return table.select("*", slot).join(F.broadcast(sieve), "_slot").filter(F.col("_bits").bitwiseAND(bit) != 0).select(table.columns)
+
+
 def parts(size: int, each: int, least: int = 1) -> int:
     """So many parts of about `each`."""
     return max(least, math.ceil(size / each))

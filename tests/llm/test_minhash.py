@@ -70,3 +70,29 @@ def test_very_long_texts(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4).collect()
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], len(sets[i])) for i, _ in rows}
     assert [want[i] for i in range(4)] == [0, 0, 2, 3]
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    """Large tables are never broadcast; then only texts that are compared may travel: here 8 of 400, and a chain that needs the block search."""
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(100)]
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1500)) for _ in range(392)]
+    texts += [" ".join([*words[: 100 - 4 * i], *[f"x{j}" for j in range(4 * i)]]) for i in range(8)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want, _ = brute.components(rows, 4)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def shuffled():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.doc_id: r.component_id for r in got} == want
+    written = sum(n for stage, n in shuffled().items() if stage not in before)
+    assert 0 < written < 0.25 * sum(map(len, texts))
