@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import textkit as tk
+from sluice.llm.profile import summed
 from sluice.llm.runtime import columns, parts, small_batches, text_bytes
 
 KEY = 16
@@ -107,9 +108,8 @@ class Block:
         self.docs, self.ids = docs, docs["rank_id"].to_numpy()
         texts = tk.Texts(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()))
         self.data, self.off, self.length, self.buckets = texts.data, texts.off, length, buckets
-        found, begin = [], 0
-        while begin < len(self.ids):
-            end = max(int(np.searchsorted(self.off, self.off[begin] + tk.SLICE_BYTES, side="right")) - 1, begin + 1)
+        found = []
+        for begin, end in tk.runs(self.off):
             base = self.off[begin]
             own = self.data[base : self.off[end]]
             first, last, at, key, text = elect(own, self.off[begin : end + 1] - base, length)
@@ -118,9 +118,9 @@ class Block:
             np.cumsum(tk.BYTE_CODES[own] * up[: len(own)], out=sums[1:])
             whole = (sums[last + length] - sums[first]) * down[first]
             found.append((first + base, last + base, at + base, key, text + begin, whole))
-            begin = end
         blank = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, np.int64, U)]
         self.first, self.last, at, key, self.text, whole = (np.concatenate(x) for x in zip(*found, strict=True)) if found else blank
+        del found
         shape = key + (self.last - self.first).astype(U) * U(1 << 20) + (at - self.first).astype(U)
         whole = tk.mix(whole ^ tk.mix(shape))
         bits = max(buckets.bit_length(), 1)
@@ -226,6 +226,24 @@ def _groups(names: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.flatnonzero(new)
 
 
+def _names(data: np.ndarray, off: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names for each window of the contexts that begin at `off`, by doubling: 8, 16, 32 and at last `length` bytes."""
+    names, at = (np.empty(windows.sum(), U), np.empty(windows.sum(), U)), 0
+    for lo, hi in tk.runs(off):
+        words = tk.mix(tk.eights(data[off[lo] : off[hi]]))
+        many = windows[lo:hi]
+        n = int(many.sum())
+        spots = np.repeat(off[lo:hi] - off[lo] - (np.cumsum(many) - many), many) + np.arange(n)
+        for seed, out in zip((101, 202), names, strict=True):
+            name, size = words, 8
+            while size < length:
+                step = min(size, length - size)
+                name, size = paired(name[:-step], name[step:], seed + size), size + step
+            out[at : at + n] = tk.mix(name[spots])
+        at += n
+    return names
+
+
 def _reranked(length: int):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("runs", pa.int64()), ("blob", pa.binary())])
 
@@ -251,17 +269,7 @@ def _reranked(length: int):
         data = data[np.repeat(keep, sizes)]
         block, ordinal, docs, windows, shift, sizes = (x[keep] for x in (block, ordinal, docs, windows, shift, sizes))
         begin = np.cumsum(sizes) - sizes
-        # doubling: 8, 16, 32 and at last `length` bytes
-        words = tk.mix(tk.eights(data))
-        spots = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-        names = []
-        for seed in (101, 202):
-            name, size = words, 8
-            while size < length:
-                step = min(size, length - size)
-                name, size = paired(name[:-step], name[step:], seed + size), size + step
-            names.append(tk.mix(name[spots]))
-        del words, name
+        names = _names(data, np.append(begin, len(data)), windows, length)
         of = np.repeat(np.arange(len(windows)), windows)
         order, start = _groups(*names)
         count = np.diff(np.append(start, len(order)))
@@ -307,7 +315,7 @@ def _removed(block: Block, found: pa.Table) -> np.ndarray:
         spot = own[np.repeat(a - (np.cumsum(times) - times), times) + np.arange(times.sum())]
         np.add.at(change, block.first[spot] + np.repeat(lo, times), 1)
         np.add.at(change, block.first[spot] + np.repeat(hi, times) + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change, out=change)[:-1] > 0
 
 
 def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -322,15 +330,21 @@ def _cleaned(length: int, buckets: int, with_text: bool):
     def run(key, docs, found):
         block = Block(docs, length, buckets)
         gone = _removed(block, found)
-        text_gone = whole_characters(block.data, gone) if with_text else gone
-        _, _, first = tk.spans(gone, block.off)
-        total = np.append(0, np.cumsum(gone))
-        digest, left = [], []
-        for lo, hi in zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True):
-            digest.append(hashlib.sha256(block.data[lo:hi][~gone[lo:hi]].tobytes()).hexdigest())
-            left.append(block.data[lo:hi][~text_gone[lo:hi]].tobytes().decode("utf-8", "replace") if with_text else None)
-        columns = [pa.array(np.diff(block.off)), pa.array(total[block.off[1:]] - total[block.off[:-1]]), pa.array(np.diff(first).astype(np.int64)), pa.array(digest, pa.string()), pa.array(left, pa.string())]
-        return pa.table([block.docs["rest"], *columns], names=["rest", *FOUND])
+        docs, off, data = block.docs, block.off, block.data
+        del block
+        counts, digest, left = np.zeros((2, len(off) - 1), np.int64), [], []
+        for begin, end in tk.runs(off):
+            own = slice(off[begin], off[end])
+            at = off[begin : end + 1] - off[begin]
+            _, _, first = tk.spans(gone[own], at)
+            counts[:, begin:end] = summed(gone[own], at[:-1], at[1:]), np.diff(first)
+            text_gone = whole_characters(data[own], gone[own]) if with_text else None
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                text = data[own][lo:hi]
+                digest.append(hashlib.sha256(text[~gone[own][lo:hi]].tobytes()).hexdigest())
+                left.append(text[~text_gone[lo:hi]].tobytes().decode("utf-8", "replace") if with_text else None)
+        columns = [pa.array(np.diff(off)), *(pa.array(x) for x in counts), pa.array(digest, pa.string()), pa.array(left, pa.string())]
+        return pa.table([docs["rest"], *columns], names=["rest", *FOUND])
 
     return run
 

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are worked on at once; a longer text is a slice of its own.  Work arrays take some 100 bytes for each.
+SLICE_BYTES = 512 << 10
 MULTIPLIER = 0x9E3779B97F4A7C15
 U = np.uint64
 
@@ -78,19 +78,24 @@ class Texts:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 
 
+def runs(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive texts that hold about SLICE_BYTES, or one longer text: the first, and the one past the last."""
+    begin = 0
+    while begin < len(off) - 1:
+        end = max(int(np.searchsorted(off, off[begin] + SLICE_BYTES, side="right")) - 1, begin + 1)
+        yield begin, end
+        begin = end
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Runs of rows that hold about SLICE_BYTES of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         whole = Texts(batch.column(column))
-        begin = 0
-        while begin < whole.n:
-            end = int(np.searchsorted(whole.off, whole.off[begin] + SLICE_BYTES, side="right")) - 1
-            end = min(max(end, begin + 1), whole.n)
+        for begin, end in runs(whole.off):
             part = batch.slice(begin, end - begin)
             yield part, Texts(part.column(column))
-            begin = end
 
 
 def is_space(data: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import repeats
+from sluice.llm import textkit as tk
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -67,6 +69,48 @@ def test_hot_phrases_in_different_surroundings(spark, monkeypatch):
         assert {r.doc_id: r.n_removed for r in got.collect()} == want
 
 
+def in_process(rows, blocks, buckets):
+    """What the operator's functions return for rows dealt into blocks in turn, and the most bytes that numpy and Python held meanwhile, inputs aside."""
+    docs = pa.table({"rank_id": [i for i, _ in rows], "text": [t for _, t in rows], "rest": [i for i, _ in rows]})
+    tables = [docs.take([i for i in range(len(rows)) if i % blocks == k]) for k in range(blocks)]
+    key = lambda k: (pa.scalar(k),)
+    of = lambda table, name, k: table.filter(pa.compute.equal(table[name], k))
+    tracemalloc.start()
+    try:
+        ranks = pa.concat_tables(repeats._ranks(50, buckets)(key(k), t) for k, t in enumerate(tables))
+        masks = pa.concat_tables(repeats._met(256)(None, of(ranks, "bucket", b)) for b in set(ranks["bucket"].to_pylist()))
+        contexts = pa.concat_tables(repeats._contexts(50, buckets)(key(k), t, of(masks, "block", k)) for k, t in enumerate(tables))
+        found = pa.concat_tables(repeats._reranked(50)(key(b), of(contexts, "bucket", b)) for b in set(contexts["bucket"].to_pylist()))
+        out = pa.concat_tables(repeats._cleaned(50, buckets, True)(key(k), t, of(found, "block", k)) for k, t in enumerate(tables))
+        return {r["rest"]: r for r in out.to_pylist()}, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("size", [1, 150, 1000])
+def test_slices_of_a_block_agree_with_brute_force(monkeypatch, size):
+    monkeypatch.setattr(tk, "SLICE_BYTES", size)
+    rng = random.Random(size)
+    pool = ["".join(rng.choice("abé \n日") for _ in range(n)) for n in (60, 100, 300, 55)]
+    rows = [(i, rng.choice([None, "", "x"]) if i % 9 == 0 else "".join(rng.choice(pool) + "".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(rng.randrange(1, 4)))) for i in range(40)]
+    got, _ = in_process(rows, 3, 4)
+    for i, b, gone in brute.removed(rows, 50):
+        r = got[i]
+        assert (i, *(r[x] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))) == brute.removal_row(i, b, gone)
+        assert r["kept_text"] == brute.whole_text(b, gone)
+
+
+def test_work_on_a_block_takes_bounded_memory():
+    """Two full blocks, of which each text's second half is a copy: arrays of 64-bit numbers stand for a slice of a block, never for all its bytes."""
+    rng = random.Random(5)
+    half = [rng.randbytes(2048).hex() for _ in range(1024)]
+    rows = [(i, rng.randbytes(2048).hex() + half[i // 2]) for i in range(1024)]
+    in_process(rows[:8], 2, 4)  # tables of powers and the like are made
+    got, most = in_process(rows, 2, 4)
+    assert sum(r["n_removed"] for r in got.values()) >= 512 * 4096
+    assert most < 32 * repeats.BLOCK_BYTES
+
+
 def test_empty_table_and_short_length(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
