@@ -6,9 +6,12 @@ interleaving (top-k dispatch, outcomes, counters, listings); `fold_queues` repla
 
 from __future__ import annotations
 
-import bisect
 import heapq
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,84 +122,135 @@ def purge_counts(dead: DataFrame) -> DataFrame:
     return dead.groupBy("queue").agg(F.count(F.lit(1)).alias("purged"))
 
 
+#: Entries of messages that moved on that lanes may hold besides half as many as there are ready messages.
+STALE_LEAST = 1000
+
+
 @dataclass
 class QueueState:
-    """One queue, folded op by op."""
+    """One queue, folded op by op, each op in time that does not depend on how many messages are ready.
+
+    A message is a tuple (id, priority, attempts, order, deadline or None, reason), a new one whenever it moves; a tuple
+    in lanes or due that is no longer in messages is of a message that moved on, and is skipped.
+    """
 
     visibility_ms: int = VISIBILITY_MS
     max_retries: int = MAX_RETRIES
-    messages: dict = field(default_factory=dict)  # id -> [priority, attempts, order, deadline or None, reason]
-    ready: list = field(default_factory=list)  # (-priority, order, id), sorted
+    messages: dict = field(default_factory=dict)  # id -> message
+    lanes: dict = field(default_factory=dict)  # priority -> deque of messages, first in first
+    levels: list = field(default_factory=list)  # heap of -priority, of each lane
     dead: dict = field(default_factory=dict)  # id -> (priority, attempts, reason, failed at ms), in order of failure
-    due: list = field(default_factory=list)  # heap of (deadline, order, id); entries of messages that moved on are skipped
+    due: dict = field(default_factory=dict)  # deadline -> messages in flight
+    deadlines: list = field(default_factory=list)  # heap of the keys of due
     order: int = 0
+    ready: int = 0  # number of ready messages
+    stale: int = 0  # entries of lanes that are skipped
 
-    def _enqueue(self, id_: str) -> None:
-        message = self.messages[id_]
+    def _enqueue(self, id_: str | None, priority: int, attempts: int = 0, reason: str | None = None) -> None:
+        """A new message, or one that goes to the tail; another with its id goes."""
         self.order += 1
-        message[2], message[3] = self.order, None
-        bisect.insort(self.ready, (-message[0], self.order, id_))
-
-    def _drop_ready(self, id_: str) -> None:
-        message = self.messages[id_]
-        if message[3] is None:
-            k = bisect.bisect_left(self.ready, (-message[0], message[2], id_))
-            if k < len(self.ready) and self.ready[k][2] == id_:
-                del self.ready[k]
-
-    def _fail(self, id_: str, reason: str, now: int) -> None:
-        message = self.messages[id_]
-        if message[1] >= self.max_retries:
+        before = self.messages.get(id_)
+        message = self.messages[id_] = (id_, priority, attempts, self.order, None, reason)
+        lane = self.lanes.get(priority)
+        if lane is None:
+            lane = self.lanes[priority] = deque()
+            heapq.heappush(self.levels, -priority)
+        lane.append(message)
+        self.ready += 1
+        if before is not None:
+            self._left(before)
+
+    def _left(self, message: tuple) -> None:
+        """message is no longer in messages; lanes are cleared of such entries when they are many, so that they take no space."""
+        if message[4] is None:
+            self.ready -= 1
+            self.stale += 1
+            if self.stale > self.ready // 2 + STALE_LEAST:
+                for priority, lane in self.lanes.items():
+                    self.lanes[priority] = deque(m for m in lane if self.messages.get(m[0]) is m)
+                self.stale = 0
+
+    def _fail(self, message: tuple, reason: str, now: int) -> None:
+        id_, priority, attempts = message[:3]
+        if attempts >= self.max_retries:
             del self.messages[id_]
-            self.dead[id_] = (message[0], message[1], reason, now)
+            self._left(message)
+            self.dead[id_] = (priority, attempts, reason, now)
         else:
-            message[4] = reason
-            self._enqueue(id_)
+            self._enqueue(id_, priority, attempts, reason)
+
+    def _take(self, n: int, now: int) -> list[tuple[str, int]]:
+        n = min(n, self.ready)
+        if n <= 0:
+            return []
+        messages, out, deadline = self.messages, [], now + self.visibility_ms
+        due = self.due.get(deadline)
+        if due is None:
+            due = self.due[deadline] = []
+            heapq.heappush(self.deadlines, deadline)
+        while len(out) < n:
+            lane = self.lanes[-self.levels[0]]
+            if not lane:
+                del self.lanes[-heapq.heappop(self.levels)]
+                continue
+            message = lane.popleft()
+            id_, priority, attempts, order, _, reason = message
+            if messages.get(id_) is not message:
+                self.stale -= 1
+                continue
+            attempts += 1
+            message = messages[id_] = (id_, priority, attempts, order, deadline, reason)
+            due.append(message)
+            out.append((id_, attempts))
+        self.ready -= n
+        return out
+
+    def waiting(self) -> Iterator[tuple]:
+        """Ready messages in the order of dispatch."""
+        return (m for priority in sorted(self.lanes, reverse=True) for m in self.lanes[priority] if self.messages.get(m[0]) is m)
+
+    def flying(self) -> list[tuple]:
+        """Messages in flight, by deadline."""
+        return sorted((m for m in self.messages.values() if m[4] is not None), key=itemgetter(4, 3))
 
     def expire(self, now: int) -> None:
-        while self.due and self.due[0][0] <= now:
-            deadline, order, id_ = heapq.heappop(self.due)
-            message = self.messages.get(id_)
-            if message is not None and message[2] == order and message[3] == deadline:
-                self._fail(id_, TIMEOUT, now)
+        while self.deadlines and self.deadlines[0] <= now:
+            for message in sorted(self.due.pop(heapq.heappop(self.deadlines)), key=itemgetter(3)):
+                if self.messages.get(message[0]) is message:
+                    self._fail(message, TIMEOUT, now)
 
     def apply(self, op: str, now: int, id_: str | None = None, priority: int | None = None, max_n: int | None = None, reason: str | None = None) -> tuple[list[tuple[str, int]], bool]:
         """Deliveries (id, attempt), and whether the op had an effect."""
-        self.expire(now)
+        if self.deadlines and self.deadlines[0] <= now:
+            self.expire(now)
         if op == "push":
-            self.messages[id_] = [priority or 0, 0, 0, None, None]
-            self._enqueue(id_)
+            self._enqueue(id_, priority or 0)
         elif op == "consume":
-            out = []
-            for _, _, each in self.ready[: max_n if max_n is not None else CONSUME_BATCH]:
-                message = self.messages[each]
-                message[1], message[3] = message[1] + 1, now + self.visibility_ms
-                heapq.heappush(self.due, (message[3], message[2], each))
-                out.append((each, message[1]))
-            del self.ready[: len(out)]
+            most = CONSUME_BATCH if max_n is None else max_n
+            out = self._take(most if most >= 0 else self.ready + most, now)
             return out, bool(out)
-        elif op in ("ack", "nack"):
-            if id_ not in self.messages:
+        elif op == "ack":
+            message = self.messages.pop(id_, None)
+            if message is None:
                 return [], False
-            self._drop_ready(id_)
-            if op == "ack":
-                del self.messages[id_]
-            else:
-                self._fail(id_, reason or "", now)
+            self._left(message)
+        elif op == "nack":
+            message = self.messages.get(id_)
+            if message is None:
+                return [], False
+            self._fail(message, reason or "", now)
         elif op == "dlq_replay":
             if id_ not in self.dead:
                 return [], False
-            self.messages[id_] = [self.dead.pop(id_)[0], 0, 0, None, None]
-            self._enqueue(id_)
+            self._enqueue(id_, self.dead.pop(id_)[0])
         elif op == "dlq_delete":
             return [], self.dead.pop(id_, None) is not None
         elif op == "dlq_purge":
             self.dead.clear()
         elif op == "delete":
-            self.messages.clear()
-            self.ready.clear()
-            self.dead.clear()
-            self.due.clear()
+            for held in (self.messages, self.lanes, self.levels, self.dead, self.due, self.deadlines):
+                held.clear()
+            self.ready = self.stale = 0
         else:
             return [], False
         return [], True
@@ -204,40 +258,88 @@ class QueueState:
 
 FOLDED = "queue string, op_seq long, op string, id string, attempt int, effect boolean, pending int, inflight int, dlq int"
 STATES = "queue string, id string, state string, priority int, attempts int, reason string, place int"
+#: Rows of a batch that a fold returns, or one op's deliveries if these are more.
+BATCH_ROWS = 10_000
+
 
+def _values(column) -> list:
+    """Python values of an Arrow array, equal ones as one object."""
+    import numpy as np
 
-def _fold(table, visibility_ms: int, max_retries: int):
-    state = None
-    for r in table.sort_by("op_seq").to_pylist():
-        if state is None:
-            state = QueueState(r.get("visibility_timeout_ms") or visibility_ms, max_retries if r.get("max_retries") is None else r["max_retries"])
-        yield r, state, state.apply(r["op"], r["at_ms"], r["id"], r["priority"], r["max_n"], r["reason"])
+    coded = column.dictionary_encode()
+    distinct = np.append(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), None)
+    return distinct[coded.indices.fill_null(len(distinct) - 1).to_numpy(zero_copy_only=False)].tolist()
+
+
+def _segments(batches, visibility_ms: int, max_retries: int) -> Iterator[tuple]:
+    """For each batch of rows in order of queue and op_seq: the batch, and (queue, state, its rows there as (place, arguments of apply())); a queue has one state."""
+    state = queue = None
+
+    def segments(batch):
+        nonlocal state, queue
+        names, rows = _values(batch.column("queue")), enumerate(zip(*[_values(batch.column(c)) for c in ("op", "at_ms", "id", "priority", "max_n", "reason")], strict=True))
+        timeouts, retries = [_values(batch.column(c)) if c in batch.schema.names else None for c in ("visibility_timeout_ms", "max_retries")]
+        start = 0
+        for name, run in groupby(names):
+            if state is None or name != queue:
+                timeout, most = [given and given[start] for given in (timeouts, retries)]
+                queue, state = name, QueueState(timeout or visibility_ms, max_retries if most is None else most)
+            n = sum(1 for _ in run)
+            yield queue, state, islice(rows, n)
+            start += n
+
+    return ((batch, segments(batch)) for batch in batches)
 
 
 def _timed(ops: DataFrame, config: DataFrame | None) -> DataFrame:
-    out = ops.select("queue", "op_seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "op", "id", "priority", "max_n", "reason")
+    out = ops.select("queue", F.col("op_seq").cast("long").alias("op_seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "op", "id", "priority", "max_n", "reason")
     return out if config is None else out.join(config.select("queue", "visibility_timeout_ms", "max_retries"), "queue", "left")
 
 
+def _ordered(ops: DataFrame, config: DataFrame | None) -> DataFrame:
+    """A queue's ops in one partition, in order: Spark sorts them, on disk if need be, and Python gets them batch by batch."""
+    return _timed(ops, config).repartition("queue").sortWithinPartitions("queue", F.col("op_seq").asc_nulls_last())
+
+
 def fold_queues(ops: DataFrame, config: DataFrame | None = None, visibility_ms: int = VISIBILITY_MS, max_retries: int = MAX_RETRIES) -> DataFrame:
     """FOLDED: one row for each delivery, one for every other op, with the queue's counters after it.
 
     A retried message goes to the tail, so order depends on all that came before: a queue is folded by one task, over
-    ids and numbers (payloads stay out); queues are independent.
+    ids and numbers (payloads stay out); queues are independent.  A task holds the messages of one queue that are alive
+    or dead, not its ops.
     """
 
-    def fold(table):
+    def fold(batches):
         import pyarrow as pa
 
-        rows = []
-        for r, state, (out, effect) in _fold(table, visibility_ms, max_retries):
-            ready = len(state.ready)
-            for id_, attempt in out or [(r["id"], None)]:
-                rows.append((r["queue"], r["op_seq"], r["op"], id_, attempt, effect, ready, len(state.messages) - ready, len(state.dead)))
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in FOLDED.split(", ")])
-
-    return _timed(ops, config).groupBy("queue").applyInArrow(fold, FOLDED)
+        types = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+
+        def table(batch, columns):
+            source, *made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.select(["queue", "op_seq", "op"]).take(source).columns, *made], names=[x.split()[0] for x in FOLDED.split(", ")])
+
+        for batch, segments in _segments(batches, visibility_ms, max_retries):
+            columns = source, ids, attempts, effects, ready, flying, dead = [[] for _ in types]
+            for _, state, rows in segments:
+                apply, messages, gone = state.apply, state.messages, state.dead
+                for k, op in rows:
+                    out, effect = apply(*op)
+                    for id_, attempt in out or ((op[2], None),):
+                        source.append(k)
+                        ids.append(id_)
+                        attempts.append(attempt)
+                        effects.append(effect)
+                        ready.append(state.ready)
+                        flying.append(len(messages) - state.ready)
+                        dead.append(len(gone))
+                    if len(source) >= BATCH_ROWS:
+                        yield table(batch, columns)
+                        for column in columns:
+                            column.clear()
+            if source:
+                yield table(batch, columns)
+
+    return _ordered(ops, config).mapInArrow(fold, FOLDED)
 
 
 def queue_states(ops: DataFrame, config: DataFrame | None = None, visibility_ms: int = VISIBILITY_MS, max_retries: int = MAX_RETRIES, now_ms: int | None = None) -> DataFrame:
@@ -246,14 +348,14 @@ def queue_states(ops: DataFrame, config: DataFrame | None = None, visibility_ms:
     def fold(table):
         import pyarrow as pa
 
-        queue, state = table["queue"][0].as_py(), None
-        for _, state, _ in _fold(table, visibility_ms, max_retries):  # noqa: B007
-            pass
+        for _, segments in _segments(table.sort_by("op_seq").combine_chunks().to_batches(), visibility_ms, max_retries):
+            for queue, state, rows in segments:  # noqa: B007
+                for _, op in rows:
+                    state.apply(*op)
         if now_ms is not None:
             state.expire(now_ms)
-        rows = [(queue, i, "ready", state.messages[i][0], state.messages[i][1], state.messages[i][4], k) for k, (_, _, i) in enumerate(state.ready)]
-        flying = sorted((m[3], m[2], i) for i, m in state.messages.items() if m[3] is not None)
-        rows += [(queue, i, "inflight", state.messages[i][0], state.messages[i][1], state.messages[i][4], k) for k, (_, _, i) in enumerate(flying)]
+        living = [("ready", state.waiting()), ("inflight", state.flying())]
+        rows = [(queue, i, kind, p, a, why, k) for kind, found in living for k, (i, p, a, _, _, why) in enumerate(found)]
         rows += [(queue, i, "dlq", p, a, why, k) for k, (i, (p, a, why, _)) in enumerate(state.dead.items())]
         types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in STATES.split(", ")])

@@ -64,14 +64,14 @@ class QueueMachine(_Machine):
         return QueueState(**self.limits)
 
     def due(self, machine: QueueState) -> int | None:
-        return machine.due[0][0] if machine.due else None
+        return machine.deadlines[0] if machine.deadlines else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         machine, out = self._load(), []
         for r in _ordered(rows).itertuples(index=False):
             priority, most = _given(r.priority), _given(r.max_n)
             found, _ = machine.apply(r.op, int(r.at_ms), _given(r.id), None if priority is None else int(priority), None if most is None else int(most), _given(r.reason))
-            ready = len(machine.ready)
+            ready = machine.ready
             for id_, attempt in found or [(_given(r.id), None)]:
                 out.append((key[0], int(r.op_seq), r.op, id_, attempt, ready, len(machine.messages) - ready, len(machine.dead)))
         self._save(machine)
