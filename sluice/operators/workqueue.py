@@ -345,19 +345,31 @@ def fold_queues(ops: DataFrame, config: DataFrame | None = None, visibility_ms:
 def queue_states(ops: DataFrame, config: DataFrame | None = None, visibility_ms: int = VISIBILITY_MS, max_retries: int = MAX_RETRIES, now_ms: int | None = None) -> DataFrame:
     """STATES: every message after the whole log (and timeouts up to now_ms); place is the order of dispatch, of deadline or of failure."""
 
-    def fold(table):
-        import pyarrow as pa
-
-        for _, segments in _segments(table.sort_by("op_seq").combine_chunks().to_batches(), visibility_ms, max_retries):
-            for queue, state, rows in segments:  # noqa: B007
-                for _, op in rows:
-                    state.apply(*op)
+    def end(queue, state):
         if now_ms is not None:
             state.expire(now_ms)
         living = [("ready", state.waiting()), ("inflight", state.flying())]
-        rows = [(queue, i, kind, p, a, why, k) for kind, found in living for k, (i, p, a, _, _, why) in enumerate(found)]
-        rows += [(queue, i, "dlq", p, a, why, k) for k, (i, (p, a, why, _)) in enumerate(state.dead.items())]
+        yield from ((queue, i, kind, p, a, why, k) for kind, found in living for k, (i, p, a, _, _, why) in enumerate(found))
+        yield from ((queue, i, "dlq", p, a, why, k) for k, (i, (p, a, why, _)) in enumerate(state.dead.items()))
+
+    def ends(batches):
+        last = None
+        for _, segments in _segments(batches, visibility_ms, max_retries):
+            for queue, state, rows in segments:
+                if last is not None and last[1] is not state:
+                    yield from end(*last)
+                for _, op in rows:
+                    state.apply(*op)
+                last = queue, state
+        if last is not None:
+            yield from end(*last)
+
+    def fold(batches):
+        import pyarrow as pa
+
         types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[x.split()[0] for x in STATES.split(", ")])
+        rows = ends(batches)
+        while some := list(islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=[x.split()[0] for x in STATES.split(", ")])
 
-    return _timed(ops, config).groupBy("queue").applyInArrow(fold, STATES)
+    return _ordered(ops, config).mapInArrow(fold, STATES)
